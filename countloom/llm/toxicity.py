@@ -30,7 +30,7 @@ from countloom.llm._words import CHUNK_BYTES, buffers, mix64
 
 ORDERS = (3, 4, 5, 6)
 PER_CLASS = 4000
-FEATURES = 8192
+FEATURES = 4096
 SMOOTHING = 0.5
 _BASE = 0x9E3779B97F4A7C15
 
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     return ToxicModel(keys, weights * ratio, float(intercept + moved))
 
 
-def _logistic(y: np.ndarray, column: np.ndarray, ptr: np.ndarray, ratio: np.ndarray, steps: int = 400, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+def _logistic(y: np.ndarray, column: np.ndarray, ptr: np.ndarray, ratio: np.ndarray, steps: int = 400, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Full-batch AdaGrad on presence times ratio."""
     row = np.repeat(np.arange(len(y)), np.diff(ptr))
     value, w, b = ratio[column], np.zeros(len(ratio)), 0.0
