@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from countloom.llm import bpe, decontam, langid, toxicity, urlfilter
+from countloom.llm import bpe, decontam, langid, quality, sharding, toxicity, urlfilter
 
-_MODULES = (toxicity, bpe, langid, decontam, urlfilter)
+_MODULES = (quality, toxicity, sharding, bpe, langid, decontam, urlfilter)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
