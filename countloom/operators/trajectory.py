@@ -71,8 +71,9 @@ def query_shifts(means: DataFrame) -> DataFrame:
     pairs = F.array(F.abs(F.col("mean") - F.col("m1")), F.abs(F.col("mean") - F.col("m2")), F.abs(F.col("m1") - F.col("m2")))
     flat = x.select("run", "block", "qid", F.posexplode(pairs).alias("pair", "shift"))
     per_pair = flat.groupBy("run", "block", "pair").agg(F.avg("shift").alias("a"), F.percentile("shift", 0.95).alias("p"), F.max("shift").alias("m"))
-    worst = flat.groupBy("run", "block").agg(F.max(F.struct(F.round("shift", 12).alias("s"), (-F.col("qid")).alias("q")))["q"].alias("minus"))
-    return per_pair.groupBy("run", "block").agg(F.max("a").alias("query_mean_shift"), F.max("p").alias("query_p95_shift"), F.max("m").alias("query_max_shift")).join(worst, ["run", "block"]).withColumn("worst_qid", -F.col("minus")).drop("minus")
+    # The worst query; ties go to the least qid.
+    worst = flat.groupBy("run", "block").agg(F.min(F.struct((-F.round("shift", 12)).alias("s"), F.col("qid")))["qid"].alias("worst_qid"))
+    return per_pair.groupBy("run", "block").agg(F.max("a").alias("query_mean_shift"), F.max("p").alias("query_p95_shift"), F.max("m").alias("query_max_shift")).join(worst, ["run", "block"])
 
 
 def _range3(name: str) -> Column:
