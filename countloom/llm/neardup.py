@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from countloom.llm._spark import cut, forget, importable, table
 from countloom.llm._words import NON_SPACE, chunks
-from countloom.llm.graph import components
+from countloom.llm.graph import TASK_EDGES, components
 from countloom.llm.superminhash import bands, set_keys, shingle_sets, signatures
 
 VALUES = 120
@@ -78,7 +78,7 @@ def _sieve(ids: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(key, shingles) of the nodes, each from the document that names it; ``nodes``: key, doc_id."""
+    """``nodes`` (key, doc_id, ...) with ``shingles``, each node's from the document that names it."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_sieve(nodes))
     bits = SIEVE_BITS
@@ -103,7 +103,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
     likely = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(maybe(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))))
     found = likely.mapInArrow(scan, "id long, k binary, shingles binary")
-    return found.join(nodes, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["key"]).select("key", "shingles")
+    # Bounds, not an equality, so that the join is by key alone and dropping repeats needs no second exchange.
+    least = F.lit(-(1 << 63))
+    mine, its = F.coalesce("id", least), F.coalesce("doc_id", least)
+    return found.join(nodes, (F.col("k") == F.col("key")) & (mine <= its) & (mine >= its)).dropDuplicates(["key"]).drop("id", "k")
 
 
 def links_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -127,15 +130,15 @@ def links_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _tile_links(placed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links found within the tiles of ``placed`` (tile, key, comp, shingles) that join different components."""
+    """(a, b): links found within the tiles of ``placed`` (tile, node, comp, shingles) that join different components."""
 
     def compare(part: pa.Table) -> pa.Table:
-        keys, comps = part["key"].to_pylist(), part["comp"].to_pylist()
+        nodes, comps = part["node"].to_pylist(), part["comp"].to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()]
         linked = links_of(sets, percent)
         parent = {c: c for c in comps}
 
-        def top(c: bytes) -> bytes:
+        def top(c: int) -> int:
             while parent[c] != c:
                 parent[c] = parent[parent[c]]
                 c = parent[c]
@@ -146,21 +149,21 @@ def _tile_links(placed: DataFrame, percent: int) -> DataFrame:
             x, y = top(comps[i]), top(comps[j])
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                a.append(keys[i])
-                b.append(keys[j])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                a.append(nodes[i])
+                b.append(nodes[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return placed.groupBy("tile").applyInArrow(compare, "a binary, b binary")
+    return placed.select("tile", "node", "comp", "shingles").groupBy("tile").applyInArrow(compare, "a long, b long")
 
 
 def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` (key, ...) with comp: the component under all ``links`` so far."""
-    found = components(links)
-    return nodes.drop("comp").join(found, "key", "left").withColumn("comp", F.coalesce("label", "key")).drop("label")
+    """``nodes`` (node, ...) with comp: the component under all ``links`` so far."""
+    found = components(links).withColumnRenamed("key", "node")
+    return nodes.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
 
 
 def _across(nodes: DataFrame, tile: int) -> DataFrame:
-    """Places for ``nodes`` (cluster, key, comp): any two of a cluster in different components share a tile.
+    """Places for ``nodes`` (cluster, node, comp): any two of a cluster in different components share a tile.
 
     Nodes of a component of ``tile`` or more are dealt into blocks of their own;
     the others are dealt into blocks by component.  Tiles are the pairs of
@@ -169,46 +172,47 @@ def _across(nodes: DataFrame, tile: int) -> DataFrame:
     size = nodes.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
     large = size.where(F.col("n") >= tile).select("cluster", "comp", F.ceil(F.col("n") / tile).alias("parts"))
     rest = size.where(F.col("n") < tile).groupBy("cluster").agg(F.ceil(F.sum("n") / tile).alias("rest_parts"))
-    none = F.lit(None).cast("binary")
+    none = F.lit(None).cast("long")
     spread = nodes.join(large, ["cluster", "comp"], "left").join(rest, "cluster", "left")
     own = F.col("parts").isNotNull()
-    dealt = spread.withColumn("of", F.when(own, F.col("comp")).otherwise(none)).withColumn("block", F.when(own, F.pmod(F.xxhash64("key"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("rest_parts"))))
-    dealt = dealt.withColumn("name", F.xxhash64("cluster", F.coalesce("of", F.lit(b"")), "block"))
+    dealt = spread.withColumn("of", F.when(own, F.col("comp")).otherwise(none)).withColumn("block", F.when(own, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("rest_parts"))))
+    dealt = dealt.withColumn("name", F.xxhash64("cluster", F.coalesce("of", F.lit(-1)), "block"))
     blocks = dealt.select("cluster", "of", "name").distinct()
     other = blocks.select("cluster", F.col("of").alias("of2"), F.col("name").alias("name2"))
     pairs = blocks.join(other, "cluster").where((F.col("name") <= F.col("name2")) & ~F.coalesce(F.col("of") == F.col("of2"), F.lit(False)))
     pairs = pairs.withColumn("tile", F.xxhash64("cluster", "name", "name2"))
     members = pairs.select("tile", "name").union(pairs.select("tile", F.col("name2"))).distinct()
-    return dealt.select("key", "comp", "shingles", "name").join(members, "name").select("tile", "key", "comp", "shingles")
+    return dealt.select("node", "comp", "shingles", "name").join(members, "name").select("tile", "node", "comp", "shingles")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values: int = VALUES, rows: int = BAND_ROWS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values: int = VALUES, rows: int = BAND_ROWS, tile: int = TILE, task_edges: int = TASK_EDGES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
     importable(docs.sparkSession)
     prints = cut(_fingerprints(docs, words, values, rows))
     classes = prints.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    banded = classes.select("key", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
-    cluster = components(banded.join(hubs, "band").select(F.col("key").alias("a"), F.col("hub").alias("b")))
-    names = classes.select("key", "doc_id")
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
+    cluster = components(banded.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")), task_edges)
     size = cluster.groupBy("label").agg(F.count("*").alias("members"))
-    sets = _sets(docs, cut(cluster.join(names, "key").select("key", "doc_id")), words)
-    nodes = cut(sets.join(cluster, "key").join(size, "label").select(F.col("label").alias("cluster"), "members", "key", "shingles").withColumn("comp", F.col("key")))
+    near = cluster.join(size, "label").select(F.col("key").alias("node"), F.col("label").alias("cluster"), "members")
+    near = cut(near.join(classes.select("node", "key", "doc_id"), "node"))
+    nodes = cut(_sets(docs, near, words).select("cluster", "members", "node", "shingles", F.col("node").alias("comp")))
     small, large = nodes.where(F.col("members") <= tile), nodes.where(F.col("members") > tile)
     packs = max(1, small.count() * 2 // tile)
-    links = cut(_tile_links(small.withColumn("tile", F.pmod(F.xxhash64("cluster"), F.lit(packs))).select("tile", "key", "comp", "shingles"), percent))
+    links = cut(_tile_links(small.withColumn("tile", F.pmod(F.xxhash64("cluster"), F.lit(packs))), percent))
     if not large.isEmpty():
         for number in range(2):
-            dealt = large.withColumn("tile", F.xxhash64("cluster", F.pmod(F.xxhash64("key", F.lit(number)), F.ceil(F.col("members") / tile))))
-            found = cut(_tile_links(dealt.select("tile", "key", "comp", "shingles"), percent))
-            links = cut(links.union(found))
+            dealt = large.withColumn("tile", F.xxhash64("cluster", F.pmod(F.xxhash64("node", F.lit(number)), F.ceil(F.col("members") / tile))))
+            links = cut(links.union(_tile_links(dealt, percent)))
             large = cut(_relabel(large, links))
         links = cut(links.union(_tile_links(_across(large, tile), percent)))
-    label = components(links)
-    named = names.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    label = components(links, task_edges).withColumnRenamed("key", "node")
+    named = label.join(near.select("node", "key", "doc_id"), "node")
     component = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    component = named.join(component, "label").select("key", "component_id")
-    out = prints.select("doc_id", "n_shingles", "key").join(component, "key", "left")
+    linked = named.join(component, "label").select("node", "component_id")
+    every = classes.join(linked, "node", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = prints.select("doc_id", "n_shingles", "key").join(every, "key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
