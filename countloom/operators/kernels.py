@@ -186,7 +186,7 @@ def heatbath(df: DataFrame, group: str, energy: str, beta: float, n_records: int
 
 def cell_conditional(df: DataFrame, key: str, attr: str, schema: Schema, queries: Sequence[Query], answers: DataFrame) -> DataFrame:
     """(key, value, delta_loss): the squared loss's change if one cell takes each legal value. ``answers``: qid, target, q."""
-    domain = df.sparkSession.createDataFrame([(v,) for v in schema[attr].domain], schema.struct_type()[attr].dataType.simpleString()).toDF("value")
+    domain = df.sparkSession.createDataFrame([(v,) for v in schema[attr].domain], f"value {schema[attr].spark_type.simpleString()}")
     tried = df.crossJoin(F.broadcast(domain)).withColumn(attr, F.col("value")).withColumn("__h", F.concat_ws("|", F.col(key).cast("string"), F.col("value").cast("string")))
     now = matches(df, queries, [key]).select(key, "qid").withColumn("was", F.lit(1))
     then = matches(tried, queries, ["__h", key, "value"]).withColumn("now", F.lit(1))

@@ -102,7 +102,8 @@ def concentration(probabilities: DataFrame) -> DataFrame:
     return per.agg(F.avg("top").alias("mean_top"), F.avg("effective").alias("mean_effective"))
 
 
-def self_rate(choices: DataFrame) -> Column:
+def self_rate() -> Column:
+    """Share of rows that drew themselves, over (rid, cand)."""
     return F.avg((F.col("rid") == F.col("cand")).cast("double"))
 
 
