@@ -8,22 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countloom.functions import xlogx
+from countloom.operators.workload import ROWS, states
 
 
-def row_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.groupBy(*names).agg(F.count("*").alias("n"))
+def row_counts(df: DataFrame, names: Sequence[str], out: str = "n") -> DataFrame:
+    """Distinct rows with their count in the column ``out``."""
+    return df.groupBy(*names).agg(F.count("*").alias(out))
 
 
-def support_union(reference: DataFrame, synthetic: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(names..., a, b): counts of each distinct row in both tables; nulls are a value of their own."""
-    tagged = row_counts(reference, names).withColumn("side", F.lit(0)).unionByName(row_counts(synthetic, names).withColumn("side", F.lit(1)))
-    n = lambda s: F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0))
-    return tagged.groupBy(*names).agg(n(0).alias("a"), n(1).alias("b"))
+def support_union(reference: DataFrame, synthetic: DataFrame, names: Sequence[str], left: str = "a", right: str = "b") -> DataFrame:
+    """(names..., left, right): counts of each distinct row in both tables; nulls are a value of their own."""
+    tagged = states(reference, names).withColumn("__side", F.lit(0)).unionByName(states(synthetic, names).withColumn("__side", F.lit(1)))
+    n = lambda s: F.sum(F.when(F.col("__side") == s, F.col(ROWS)).otherwise(0))
+    return tagged.groupBy(*names).agg(n(0).alias(left), n(1).alias(right))
 
 
 def joint_metrics(reference: DataFrame, synthetic: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row: total variation, distinct rows, duplicate rate, overlap, missing reference mass, novel mass."""
-    u = support_union(reference, synthetic, names)
+    u = support_union(reference, synthetic, names, "__a", "__b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
     t = u.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     p, q = F.col("a") / F.col("na"), F.col("b") / F.col("nb")
     return u.crossJoin(F.broadcast(t)).agg(
@@ -38,7 +40,7 @@ def joint_metrics(reference: DataFrame, synthetic: DataFrame, names: Sequence[st
 
 def support_metrics(reference: DataFrame, synthetic: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row: distinct rows in both, synthetic mass inside the reference's support, reference mass covered."""
-    u = support_union(reference, synthetic, names)
+    u = support_union(reference, synthetic, names, "__a", "__b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
     both = (F.col("a") > 0) & (F.col("b") > 0)
     return u.agg(F.count_if(both).alias("unique_overlap"), (F.sum(F.when(both, F.col("b")).otherwise(0)) / F.sum("b")).alias("mass_inside"), (F.sum(F.when(both, F.col("a")).otherwise(0)) / F.sum("a")).alias("mass_covered"))
 
@@ -49,7 +51,7 @@ def _entropy(n: Column, total: Column) -> Column:
 
 def diversity(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row: rows, distinct rows, duplicate rate, entropy of rows, its exponential, and entropy over ln N (1 for one row)."""
-    counts = row_counts(df, names)
+    counts = states(df, names).select(F.col(ROWS).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     h = counts.crossJoin(F.broadcast(total)).agg(F.max("total").alias("rows"), F.count("*").alias("unique_rows"), _entropy(F.col("n"), F.col("total")).alias("entropy"))
     return h.select(
@@ -68,11 +70,11 @@ def attribute_diversity(df: DataFrame, names: Sequence[str], domain_sizes: dict[
 
 def top_cover(reference: DataFrame, synthetic: DataFrame, names: Sequence[str], k: int = 10) -> DataFrame:
     """One row: share of the most frequent synthetic row, and how many of the reference's top k rows the synthetic top k holds; ties in row order."""
-    order = [F.desc("n"), *names]
-    a, b = row_counts(reference, names).orderBy(*order).limit(k), row_counts(synthetic, names).orderBy(*order).limit(k)
+    order = [F.desc(ROWS), *names]
+    a, b = states(reference, names).orderBy(*order).limit(k), states(synthetic, names).orderBy(*order).limit(k)
     total = synthetic.count()
-    held = a.drop("n").intersect(b.drop("n")).agg(F.count("*").alias("top_cover"))
-    return b.agg((F.max("n") / F.lit(float(total))).alias("top_rate")).crossJoin(held)
+    held = a.drop(ROWS).intersect(b.drop(ROWS)).agg(F.count("*").alias("top_cover"))
+    return b.agg((F.max(ROWS) / F.lit(float(total))).alias("top_rate")).crossJoin(held)
 
 
 def only_in(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:

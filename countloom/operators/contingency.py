@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from countloom.operators.workload import ROWS, states
 from countloom.schema import NUMERIC, Schema
 
 
@@ -18,10 +19,10 @@ def cells(df: DataFrame, names: Sequence[str], order: int) -> DataFrame:
 
     One EXPAND over distinct states; no pass for each subset.
     """
-    states = df.groupBy(*names).agg(F.count("*").alias("n"))
+    held = states(df, names)
     value = {n: F.coalesce(F.col(n).cast("string"), F.lit("\x00")) for n in names}
     subsets = F.array(*(F.struct(F.lit(",".join(s)).alias("attrs"), F.concat_ws("|", *(value[a] for a in s)).alias("key")) for s in combinations(names, order)))
-    return states.select(F.explode(subsets).alias("c"), "n").groupBy("c.attrs", "c.key").agg(F.sum("n").alias("n"))
+    return held.select(F.explode(subsets).alias("c"), ROWS).groupBy("c.attrs", "c.key").agg(F.sum(ROWS).alias("n"))
 
 
 def domain_cells(spark, domains: dict[str, Sequence[Any]], order: int) -> DataFrame:

@@ -72,15 +72,15 @@ def bounds(schema: T.StructType, query: Query) -> dict[str, tuple[Any, Any]] | N
 
 
 def workload_frame(df: DataFrame, queries: Sequence[Query]) -> tuple[DataFrame, list[str], list[tuple[str, ...]]]:
-    """((qid, shape, low_a, high_a, ...), attributes in use, the shapes) of the queries that can match."""
+    """((qid, __shape, __low_a, __high_a, ...), attributes in use, the shapes) of the queries that can match."""
     spark = df.sparkSession
     found = [(q, b) for q, b in enumerate(bounds(df.schema, q) for q in queries) if b is not None]
     used = [f for f in df.schema.fields if any(f.name in b for _, b in found)]
     shapes = sorted({tuple(f.name for f in used if f.name in b) for _, b in found})
-    fields = [T.StructField("qid", T.IntegerType()), T.StructField("shape", T.IntegerType())]
+    fields = [T.StructField("qid", T.IntegerType()), T.StructField("__shape", T.IntegerType())]
     for f in used:
         kind = T.DoubleType() if isinstance(f.dataType, T.NumericType) else f.dataType
-        fields += [T.StructField(f"low_{f.name}", kind), T.StructField(f"high_{f.name}", kind)]
+        fields += [T.StructField(f"__low_{f.name}", kind), T.StructField(f"__high_{f.name}", kind)]
     as_double = {f.name for f in used if isinstance(f.dataType, T.NumericType)}
     cast = lambda n, v: float(v) if v is not None and n in as_double else v
     rows = []
@@ -101,7 +101,7 @@ def _inside(df: DataFrame, names: Sequence[str]) -> Column:
     kinds = {f.name: f.dataType for f in df.schema.fields}
     out = F.lit(True)
     for n in names:
-        low, high, x = F.col(f"low_{n}"), F.col(f"high_{n}"), F.col(n)
+        low, high, x = F.col(f"__low_{n}"), F.col(f"__high_{n}"), F.col(n)
         free = low.isNull() & high.isNull()
         test = (low.isNull() | (x >= low)) & (high.isNull() | (x <= high))
         if isinstance(kinds[n], (T.DoubleType, T.FloatType)):
@@ -110,9 +110,13 @@ def _inside(df: DataFrame, names: Sequence[str]) -> Column:
     return out
 
 
+#: Column of row counts beside attributes, whose names may be anything.
+ROWS = "__rows"
+
+
 def states(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Distinct values of the columns with their row count ``n``."""
-    return df.groupBy(*names).agg(F.count("*").alias("n"))
+    """Distinct values of the columns with their row count ``__rows``."""
+    return df.groupBy(*names).agg(F.count("*").alias(ROWS))
 
 
 def evaluate(df: DataFrame, queries: Sequence[Query]) -> DataFrame:
@@ -125,15 +129,15 @@ def evaluate(df: DataFrame, queries: Sequence[Query]) -> DataFrame:
     if len(shapes) <= MAX_SHAPES:
         number = {sum(1 << (len(names) - 1 - i) for i, n in enumerate(names) if n not in s): k for k, s in enumerate(shapes)}
         if names:
-            rolled = cells.groupingSets([[F.col(n) for n in s] for s in shapes], *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("gid"))
+            rolled = cells.groupingSets([[F.col(n) for n in s] for s in shapes], *names).agg(F.sum(ROWS).alias(ROWS), F.grouping_id().alias("__gid"))
             pairs = F.create_map(*(F.lit(x) for g, k in number.items() for x in (int(g), k)))
-            cells = rolled.withColumn("cell_shape", F.element_at(pairs, F.col("gid").cast("int")))
+            cells = rolled.withColumn("__cell_shape", F.element_at(pairs, F.col("__gid").cast("int")))
         else:
-            cells = cells.withColumn("cell_shape", F.lit(0))
-        joined = cells.join(workload, (F.col("cell_shape") == F.col("shape")) & _inside(df, names))
+            cells = cells.withColumn("__cell_shape", F.lit(0))
+        joined = cells.join(workload, (F.col("__cell_shape") == F.col("__shape")) & _inside(df, names))
     else:
         joined = cells.join(workload, _inside(df, names))
-    counted = joined.groupBy("qid").agg(F.sum("n").alias("answer"))
+    counted = joined.groupBy("qid").agg(F.sum(ROWS).alias("answer"))
     return everyone.join(counted, "qid", "left").select("qid", F.coalesce("answer", F.lit(0)).cast("long").alias("answer"))
 
 

@@ -435,9 +435,9 @@ def _pair_queries(spark, sf_dir):
     for a, b in (("flag", "status"), ("status", "line")):
         cells: dict = {}
         for r in c:
-            cells[r[a], r[b]] = cells.get((r[a], r[b]), 0) + r.n
+            cells[r[a], r[b]] = cells.get((r[a], r[b]), 0) + r[workload.ROWS]
         out += [{"conditions": [{"attribute": a, "operator": "==", "value": x}, {"attribute": b, "operator": "==", "value": y}], "result": n} for (x, y), n in sorted(cells.items(), key=str)]
-    return out, sum(r.n for r in c)
+    return out, sum(r[workload.ROWS] for r in c)
 
 
 @query("mg10_maxent", "WITH li AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_linenumber AS line FROM lineitem), t AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM li), fs AS (SELECT flag, status, count(*) / max(n) AS p FROM li, t GROUP BY 1, 2), sl AS (SELECT status, line, count(*) / max(n) AS p FROM li, t GROUP BY 1, 2), s AS (SELECT status, count(*) / max(n) AS p FROM li, t GROUP BY 1) SELECT flag, fs.status, line, round(fs.p * sl.p / s.p, 6) AS p FROM fs JOIN sl ON fs.status = sl.status JOIN s ON s.status = fs.status")
