@@ -606,11 +606,11 @@ def a15(spark, sf_dir):
 
 # Statistics: event types paired by user, purchases against clicks.
 
-_PAIRED = "ev2 AS (SELECT user_id AS seed, event_type, round(avg(value), 6) AS v FROM events GROUP BY 1, 2), pa AS (SELECT a.seed, a.v AS a, b.v AS b FROM (SELECT * FROM ev2 WHERE event_type = 'click') a JOIN (SELECT * FROM ev2 WHERE event_type = 'purchase') b USING (seed))"
+_PAIRED = "ev2 AS (SELECT user_id AS seed, event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) * 100 // count(value) / 10000.0 AS v FROM events GROUP BY 1, 2), pa AS (SELECT a.seed, a.v AS a, b.v AS b FROM (SELECT * FROM ev2 WHERE event_type = 'click') a JOIN (SELECT * FROM ev2 WHERE event_type = 'purchase') b USING (seed))"
 
 
 def _by_user(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("seed"), "event_type").agg(F.round(F.avg("value"), 6).alias("v"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("seed"), "event_type").agg((F.expr("sum(cast(round(value * 100) as bigint)) * 100 div count(value)") / 10000.0).alias("v"))
 
 
 def _paired(spark, sf_dir):
