@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 #: Largest object, in bytes, that an operator of this subpackage broadcasts.
 BROADCAST_BYTES = 64 << 20
+#: Rows and bytes of text that go to a Python worker at once; both sides hold some such batches.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it is not on their path already."""
+    """Lets Python workers import this package when it is not on their path already, and keeps their batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)

@@ -9,6 +9,7 @@ classes of the operators.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,6 +38,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers stay alive between stages, and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -134,3 +144,4 @@ def chunks(column: pa.Array, table: np.ndarray, lower: bool = True, limit: int =
         j = min(j, n)
         yield i, j, scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table, lower)
         i = j
+    trim()

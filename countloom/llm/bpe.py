@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from countloom.llm._spark import importable, table
 
 #: Words kept in each of a worker's two generations.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 
 
 def byte_alphabet() -> list[str]:

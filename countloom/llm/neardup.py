@@ -42,6 +42,8 @@ VALUES = 120
 BAND_ROWS = 5
 TILE = 256
 SIEVE_BITS = 25
+#: Bytes of text whose signatures are made at once; each shingle holds a permutation of the values meanwhile.
+SCAN_BYTES = 1 << 20
 
 
 def _fingerprints(docs: DataFrame, words: int, values: int, rows: int) -> DataFrame:
@@ -49,7 +51,7 @@ def _fingerprints(docs: DataFrame, words: int, values: int, rows: int) -> DataFr
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, w in chunks(batch.column(1), NON_SPACE):
+            for i, j, w in chunks(batch.column(1), NON_SPACE, limit=SCAN_BYTES):
                 h, ptr = shingle_sets(w, words)
                 n = np.diff(ptr)
                 keys = set_keys(h, ptr)

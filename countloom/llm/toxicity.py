@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countloom.llm._spark import cut, fold, forget, importable, table
-from countloom.llm._words import CHUNK_BYTES, buffers, mix64
+from countloom.llm._words import CHUNK_BYTES, buffers, mix64, trim
 
 ORDERS = (3, 4, 5, 6)
 PER_CLASS = 4000
 FEATURES = 4096
 SMOOTHING = 0.5
+#: Bytes of text whose n-grams are held at once while counting.
+COUNT_BYTES = 256 << 10
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -44,12 +46,12 @@ class ToxicModel(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(logits + self.intercept, -40, 40)))
 
 
-def gram_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def gram_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past-last row, lower-cased code points, offsets) over runs of texts."""
     data, offsets = buffers(column)
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1))
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1))
         raw = data[offsets[i] : offsets[j]]
         points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
         upper = ((points >= 65) & (points <= 90)) | ((points >= 0xC0) & (points <= 0xDE) & (points != 0xD7))
@@ -58,6 +60,7 @@ def gram_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         heads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         yield i, j, points, heads[offsets[i : j + 1] - offsets[i]]
         i = j
+    trim()
 
 
 def grams(points: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -142,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False)
-            for i, _, points, offsets in gram_chunks(batch.column(0)):
+            for i, _, points, offsets in gram_chunks(batch.column(0), COUNT_BYTES):
                 text, gram = text_grams(points, offsets)
                 gram, at = np.unique(gram, return_inverse=True)
                 pos = np.bincount(at, weights=toxic[i + text], minlength=len(gram)).astype(np.int64)
