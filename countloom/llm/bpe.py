@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countloom.llm._spark import importable, table
+from countloom.llm._words import trim
 
 #: Words kept in each of a worker's two generations.
 CACHE_WORDS = 60_000
@@ -127,6 +128,10 @@ class Bpe:
                 if got[2]:
                     yield got
 
+    def forget_words(self) -> None:
+        """Empties the caches; a worker that waits for its next task holds only the vocabulary."""
+        self._young, self._old = {}, {}
+
     def encode_strings(self, text: str) -> tuple[str, str, int]:
         """(ids joined by a space, decoded text, number of tokens)."""
         got = list(self._pieces(text))
@@ -170,6 +175,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "bpe", dig
         for part in parts:
             rows = [bpe.encode_strings(x.as_py() or "") for x in part]
             yield pa.StructArray.from_arrays([pa.array([[int(i) for i in r[0].split()] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.string())], names=["ids", "decoded"])
+        bpe.forget_words()
+        trim()
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
     def digests(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -182,6 +189,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "bpe", dig
                 a.append(sha(ids))
                 b.append(sha(decoded))
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget_words()
+        trim()
 
     return docs.withColumn(out, (digests if digest else whole)(F.col(text)))
 

@@ -41,7 +41,8 @@ PART = 31
 UNDETERMINED = "und"
 #: A pipeline keeps a document whose language is at least this likely.
 KEEP_SCORE = 0.4
-_CHUNK = 4 << 20
+#: Bytes of text whose distinct words are scored at once.
+_CHUNK = 1 << 20
 
 _LETTER = np.array([0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
 _H1, _H2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

@@ -83,28 +83,25 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """``nodes`` (key, doc_id, ...) with ``shingles``, each node's from the document that names it."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_sieve(nodes))
-    bits = SIEVE_BITS
-
-    @F.arrow_udf("boolean")
-    def maybe(at: pa.Array) -> pa.Array:
-        k = at.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[k >> 6] >> (k & 63)) & 1 == 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, w in chunks(batch.column(1), NON_SPACE):
+            at = batch.column(2).to_numpy()
+            likely = np.flatnonzero((shared.value[at >> 6] >> (at & 63)) & 1)
+            ids, texts = batch.column(0).take(pa.array(likely)), batch.column(1).take(pa.array(likely))
+            for i, j, w in chunks(texts, NON_SPACE):
                 h, ptr = shingle_sets(w, words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0)[i:j],
+                        ids[i:j],
                         pa.array([k.tobytes() for k in set_keys(h, ptr)], pa.binary()),
                         pa.array([h[ptr[d] : ptr[d + 1]].tobytes() for d in range(j - i)], pa.binary()),
                     ],
                     names=["id", "k", "shingles"],
                 )
 
-    likely = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(maybe(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))))
-    found = likely.mapInArrow(scan, "id long, k binary, shingles binary")
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SIEVE_BITS)))
+    found = asked.mapInArrow(scan, "id long, k binary, shingles binary")
     # Bounds, not an equality, so that the join is by key alone and dropping repeats needs no second exchange.
     least = F.lit(-(1 << 63))
     mine, its = F.coalesce("id", least), F.coalesce("doc_id", least)
