@@ -1,14 +1,17 @@
 """Sharding by balanced label propagation, in Spark joins.
 
 Documents are linked through hubs, never pair by pair: one hub for each text
-that several documents share, one for the smallest hash of a document's long
-lines.  Documents start in the shard their text hashes to.  In each round a
-hub's fullest shard is found, each document asks to move to the shard that its
-hubs favour, the requests between shards are reduced on the driver (a table of
-shards x shards) until no shard exceeds its quota, and that share of each
-request moves, whole hubs at a time.  A last pass makes the row counts exact:
-shards with too many rows hand over unlinked documents first, then members of
-hubs too large for one shard, then others, to the shards that lack rows.
+and one for each line, of any length but not blank, that several documents
+share.  A document's leading hub is its largest one that fits a shard;
+documents start in the shard their leading hub, or else their text, hashes to.
+In each round the members of every hub are counted by shard, a hub gives each
+shard the share of the other members there, each document sums the shares over all
+its hubs and asks to move to the shard with the largest sum, the requests
+between shards are reduced on the driver (a table of shards x shards) until no
+shard exceeds its quota, and that share of each request moves, documents of one
+leading hub together.  A last pass makes the row counts exact: shards
+with too many rows hand over unlinked documents first, then those whose hubs
+are all too large for one shard, then others, to the shards that lack rows.
 
 Law: ``rows`` - counts differ by one at most.
 
@@ -29,8 +32,6 @@ SHARDS = 24
 ROUNDS = 3
 #: Share by which a shard may exceed the mean between rounds.
 SLACK = 0.05
-#: Shortest line, in characters, that links documents.
-LINE_CHARS = 80
 #: Places that a shard's rows are ranked in side by side; with the shards they bound the table of counts.
 BUCKETS = 128
 #: Rows of one oversized hub are spread over so many places.
@@ -54,24 +55,37 @@ def _quota(requests: np.ndarray, load: np.ndarray, most: float) -> np.ndarray:
     return moved / np.maximum(requests, 1)
 
 
-def _favoured(state: DataFrame, hub: str) -> DataFrame:
-    """(hub, its fullest shard, how many there, members) for hubs with two members or more."""
-    votes = state.where(F.col(hub).isNotNull()).groupBy(hub, "shard").agg(F.count("*").alias("n"))
-    best = votes.groupBy(hub).agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("b"), F.sum("n").alias("members"))
-    return best.where(F.col("members") > 1).select(hub, (-F.col("b.minus")).alias(f"{hub}_to"), F.col("b.n").alias(f"{hub}_n"), F.col("members").alias(f"{hub}_members"))
+def _links(base: DataFrame) -> DataFrame:
+    """(rid, hub, members) for every text and line that two rows or more hold."""
+    held = base.select("rid", F.explode("hubs").alias("hub"))
+    return cut(held.join(held.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1"), "hub").select("rid", "hub", "members"))
 
 
-def _with_hubs(state: DataFrame) -> DataFrame:
-    return state.join(_favoured(state, "same"), "same", "left").join(_favoured(state, "line"), "line", "left")
+def _with_lead(base: DataFrame, links: DataFrame, large: float) -> DataFrame:
+    """``base`` with (lead, linked): the largest hub of a row that fits a shard, by which rows move and rank together."""
+    lead = F.max(F.when(F.col("members") <= large, F.struct("members", "hub")))
+    led = links.groupBy("rid").agg(lead.alias("l"), F.lit(True).alias("linked")).select("rid", F.col("l.hub").alias("lead"), "linked")
+    return base.drop("hubs").join(led, "rid", "left")
 
 
-def propagate(state: DataFrame, shards: int, slack: float, number: int) -> DataFrame:
-    """One round: (rid, same, line, ..., shard) with linked rows moved towards their hubs' shards."""
+def _wanted(state: DataFrame, links: DataFrame) -> DataFrame:
+    """(rid, to): the shard with the largest sum of the other members' shares over all hubs of a row; equal sums go by a hash that the leading hub's rows share."""
+    placed = cut(links.join(state.select("rid", "lead", "shard"), "rid"))
+    votes = placed.groupBy("hub", "shard").agg(F.count("*").alias("n"))
+    # Whole numbers, so that sums do not depend on their order.
+    votes = votes.groupBy("hub").agg(F.collect_list(F.struct(F.col("shard").alias("to"), "n")).alias("votes"))
+    cast = placed.join(votes, "hub").select("rid", F.xxhash64("lead").alias("lead"), "shard", "members", F.explode("votes").alias("v"))
+    others = F.col("v.n") - (F.col("v.to") == F.col("shard")).cast("long")
+    share = F.floor(others / (F.col("members") - 1) * F.lit(float(1 << 40)))
+    summed = cast.groupBy("rid", "lead", "v.to").agg(F.sum(share).alias("sum"))
+    return summed.groupBy("rid").agg(F.max(F.struct("sum", F.xxhash64("lead", "to").alias("tie"), "to")).getField("to").alias("to"))
+
+
+def propagate(state: DataFrame, links: DataFrame, shards: int, slack: float, number: int) -> DataFrame:
+    """One round: ``state`` with linked rows moved towards the shards that their hubs favour."""
     spark = state.sparkSession
-    n = F.coalesce(F.col("same_n"), F.lit(0))
-    to = F.when(n >= F.coalesce(F.col("line_n"), F.lit(0)), F.col("same_to")).otherwise(F.col("line_to"))
-    hub = F.when(F.col("same_n").isNotNull(), F.col("same")).otherwise(F.col("line"))
-    asked = cut(_with_hubs(state).select(*state.columns, F.coalesce(to, F.col("shard")).alias("to"), _uniform(hub, F.lit(number)).alias("u")))
+    asked = state.join(_wanted(state, links), "rid", "left")
+    asked = cut(asked.select(*state.columns, F.coalesce("to", F.col("shard")).alias("to"), _uniform(F.coalesce("lead", F.col("rid")), F.lit(number)).alias("u")))
     flows = asked.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()
     requests, load = np.zeros((shards, shards)), np.zeros(shards)
     for r in flows:
@@ -87,33 +101,31 @@ def propagate(state: DataFrame, shards: int, slack: float, number: int) -> DataF
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK, text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row of ``docs``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda s: F.length(s) >= LINE_CHARS)
-    base = docs.select(
+    lines = F.filter(F.split(t, "\n"), lambda s: F.trim(s) != "")
+    base = cut(docs.select(
         F.monotonically_increasing_id().alias("rid"),
         "doc_id",
         (F.octet_length(t) + 8).cast("long").alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
         F.xxhash64(t).alias("same"),
-        F.array_min(F.transform(lines, lambda s: F.xxhash64(s))).alias("line"),
-    )
-    state = base.withColumn("shard", F.pmod(F.xxhash64("same", F.lit(-1)), F.lit(shards)).cast("int"))
-    state = cut(state)
+        F.array_distinct(F.concat(F.array(F.xxhash64(t)), F.transform(lines, lambda s: F.xxhash64(s, F.lit("line"))))).alias("hubs"),
+    ))
+    links = _links(base)
+    state = _with_lead(base, links, base.count() / shards / 2)
+    state = cut(state.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("lead", "same"), F.lit(-1)), F.lit(shards)).cast("int")))
     for number in range(rounds):
-        state = cut(propagate(state, shards, slack, number))
+        state = cut(propagate(state, links, shards, slack, number))
     return _balance(state, shards)
 
 
 def _balance(state: DataFrame, shards: int) -> DataFrame:
     spark = state.sparkSession
-    linked = _with_hubs(state)
-    members = F.greatest(F.coalesce("same_members", F.lit(0)), F.coalesce("line_members", F.lit(0)))
-    hub = F.when(F.col("same_members").isNotNull(), F.col("same")).when(F.col("line_members").isNotNull(), F.col("line"))
+    hub = F.col("lead")
     load = {r.shard: r.n for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     rows = sum(load.values())
-    large = rows / shards / 2
-    kind = F.when(members < 2, 0).when(members > large, 1).otherwise(2)
+    kind = F.when(F.col("linked").isNull(), 0).when(hub.isNull(), 1).otherwise(2)
     place = F.when(kind == 1, F.pmod(F.xxhash64("rid"), F.lit(SALTS))).otherwise(F.pmod(F.xxhash64(F.coalesce(hub, F.col("rid"))), F.lit(BUCKETS)))
-    ranked = cut(linked.select("rid", "doc_id", "size", "text_crc32", "shard", (kind * BUCKETS + place).cast("int").alias("place"), F.xxhash64(F.coalesce(hub, F.col("rid"))).alias("near")))
+    ranked = cut(state.select("rid", "doc_id", "size", "text_crc32", "shard", (kind * BUCKETS + place).cast("int").alias("place"), F.xxhash64(F.coalesce(hub, F.col("rid"))).alias("near")))
     # Counts by shard and place: at most shards x 3 x BUCKETS rows, whatever the input.
     counts = sorted((r.shard, r.place, r.n) for r in ranked.groupBy("shard", "place").agg(F.count("*").alias("n")).collect())
     first, before = [], {}

@@ -238,6 +238,24 @@ def test_sharding_keeps_groups(spark):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
+@pytest.mark.parametrize("shared", ["see {} there", "a line that is much longer than eighty characters, as passages of documents are, number {}"])
+def test_sharding_links_by_every_line(spark, shared):
+    def own(k):
+        return "\n".join(f"document {k} has this line, which is longer than eighty characters, for itself alone: {x}" for x in range(20))
+
+    rows = [(k, own(k) + "\n" + shared.format(k // 4)) for k in range(400)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).toPandas()
+    assert got.groupby("shard").size().tolist() == [50] * 8
+    assert (got.groupby(got.doc_id // 4).shard.nunique() > 1).mean() < 0.2
+
+
+def test_sharding_sums_over_hubs(spark):
+    state = spark.createDataFrame([(0, 7, 3), (1, 7, 0), (2, 8, 1), (3, 9, 1), (4, 7, 0)], "rid long, lead long, shard int")
+    # Row 0 meets shard 0 in one hub and shard 1 in two.
+    links = spark.createDataFrame([(0, 7, 3), (1, 7, 3), (4, 7, 3), (0, 8, 2), (2, 8, 2), (0, 9, 2), (3, 9, 2)], "rid long, hub long, members long")
+    assert {r.rid: r.to for r in sharding._wanted(state, links).collect()}[0] == 1
+
+
 def test_decontamination_in_blocks(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{DIR}/benchmark.parquet")
