@@ -46,33 +46,42 @@ def pair_distances(rows: DataFrame, pool: DataFrame, schema: Schema, key: str, e
     return pairs.select("rid", "cand", distance(schema, "l_", "r_", weights).alias("d"))
 
 
-def _softmax(pairs: DataFrame, logit: Column) -> DataFrame:
+def _softmax(pairs: DataFrame, logit: Column, mass: Column) -> DataFrame:
     row = Window.partitionBy("rid")
     x = pairs.withColumn("z", logit)
-    x = x.withColumn("e", F.exp(F.col("z") - F.max("z").over(row)))
+    x = x.withColumn("e", mass * F.exp(F.col("z") - F.max("z").over(row)))
     return x.withColumn("p", F.col("e") / F.sum("e").over(row)).drop("z", "e")
 
 
 def selection(
     pairs: DataFrame, fitness: DataFrame, mode: str = "geometric", beta: float = 1.0, h: float = 1.0, power: float = 1.0, lam: float = 0.5, alpha: float = 1.0, delta: float = 0.01,
     winsorize: tuple[float, float] = (0.05, 0.95), exclude_self: bool = False, scale_invariant: bool = False, min_spread: float = 0.05,
+    count: str | None = None,
 ) -> DataFrame:
-    """(rid, cand, p): each row's distribution over its candidates. ``fitness``: cand, fitness (of the pool)."""
+    """(rid, cand, p): each row's distribution over its candidates. ``fitness``: cand, fitness (of the pool).
+
+    With ``count``, a column of ``fitness``, rid and cand are states of so many rows each: sums, quantiles and
+    moments are those of the rows, and ``exclude_self`` takes off one copy of a row's own state.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
-    if exclude_self:
+    if exclude_self and count is None:
         pairs = pairs.where("rid <> cand")
-    x = pairs.join(F.broadcast(fitness), "cand")
+    x, mass = pairs.join(F.broadcast(fitness), "cand"), F.lit(1.0)
+    if count is not None:
+        own = (F.col("rid") == F.col("cand")).cast("double") if exclude_self else F.lit(0.0)
+        x, mass = x.withColumn("mass", F.col(count) - own).where("mass > 0"), F.col("mass")
     f, d = F.col("fitness"), F.col("d")
     row = Window.partitionBy("rid")
     if mode in ("squared", "linear", "none"):
         penalty = {"squared": d * d / (2 * h * h), "linear": d / h, "none": F.lit(0.0)}[mode]
-        return _softmax(x, beta * f - penalty).select("rid", "cand", "p")
+        return _softmax(x, beta * f - penalty, mass).select("rid", "cand", "p")
     if mode == "multiplicative":
         top = fitness.agg(F.max(beta * f).alias("top"))
-        w = x.crossJoin(F.broadcast(top)).withColumn("w", F.exp(beta * f - F.col("top")) * F.pow(1 - d, F.lit(power)))
+        w = x.crossJoin(F.broadcast(top)).withColumn("w", mass * F.exp(beta * f - F.col("top")) * F.pow(1 - d, F.lit(power)))
         return w.withColumn("p", F.col("w") / F.sum("w").over(row)).select("rid", "cand", "p")
-    q = fitness.agg(F.percentile("fitness", winsorize[0]).alias("lo"), F.percentile("fitness", winsorize[1]).alias("hi"))
+    times = F.lit(1) if count is None else F.col(count)
+    q = fitness.agg(F.percentile("fitness", winsorize[0], times).alias("lo"), F.percentile("fitness", winsorize[1], times).alias("hi"))
     x = x.crossJoin(F.broadcast(q))
     spread = F.col("hi") - F.col("lo")
     share = F.when(spread < 1e-8, 1.0).otherwise((F.least(F.greatest(f, F.col("lo")), F.col("hi")) - F.col("lo")) / (spread + 1e-8))
@@ -80,9 +89,14 @@ def selection(
     x = x.withColumn("log", log)
     logit = alpha * F.col("log")
     if scale_invariant:
-        x = x.withColumn("mean", F.avg("log").over(row)).withColumn("sd", F.stddev_pop("log").over(row))
+        if count is None:
+            x = x.withColumn("mean", F.avg("log").over(row)).withColumn("sd", F.stddev_pop("log").over(row))
+        else:
+            x = x.withColumn("rows", F.sum(mass).over(row)).withColumn("mean", F.sum(mass * F.col("log")).over(row) / F.col("rows"))
+            gap = F.col("log") - F.col("mean")
+            x = x.withColumn("sd", F.sqrt(F.sum(mass * gap * gap).over(row) / F.col("rows")))
         logit = alpha * (F.col("log") - F.col("mean")) / F.greatest("sd", F.lit(min_spread))
-    return _softmax(x, logit).select("rid", "cand", "p")
+    return _softmax(x, logit, mass).select("rid", "cand", "p")
 
 
 def draw(probabilities: DataFrame, seed: int, round_: int = 0) -> DataFrame:
@@ -95,6 +109,16 @@ def draw(probabilities: DataFrame, seed: int, round_: int = 0) -> DataFrame:
     return c.groupBy("rid").agg(F.coalesce(F.min(F.when(F.col("u") < F.col("cum"), F.col("cand"))), F.max("cand")).alias("cand"))
 
 
+def draw_by_state(probabilities: DataFrame, rows: DataFrame, seed: int, round_: int = 0) -> DataFrame:
+    """(rid, cand): :func:`draw` for every row of ``rows`` (rid, state) from its state's distribution (rid, cand, p)."""
+    order = Window.partitionBy("rid").orderBy("cand").rowsBetween(Window.unboundedPreceding, 0)
+    c = probabilities.withColumn("cum", F.sum("p").over(order))
+    c = c.groupBy(F.col("rid").alias("state")).agg(F.array_sort(F.collect_list(F.struct("cand", "cum"))).alias("c"))
+    x = rows.join(c, "state").withColumn("u", uniform(seed, F.lit(round_), "donor", F.col("rid")))
+    below = F.size(F.filter("c", lambda s: s["cum"] <= F.col("u")))
+    return x.select("rid", F.element_at("c", F.least(below + 1, F.size("c")))["cand"].alias("cand"))
+
+
 def concentration(probabilities: DataFrame) -> DataFrame:
     """One row: mean of the rows' largest probabilities and of the exponentials of their entropies."""
     p = F.col("p")

@@ -228,6 +228,34 @@ def test_evolution_gate_and_seeds(spark):
         engine.Config(rho=2.0)
 
 
+@pytest.mark.parametrize("exclude_self,scale_invariant", [(False, False), (True, True)])
+def test_selection_between_states_is_that_between_rows(spark, exclude_self, scale_invariant):
+    rows = init.random_table(spark, SCHEMA, 40, 5).withColumn("state", F.to_json(F.struct("x", "n"))).cache()
+    fit = F.col("n") * 0.3 + (F.col("x") == "a").cast("double")
+    states = rows.groupBy("state", "x", "n").agg(F.count("*").alias("k")).cache()
+    more = {"alpha": 4.0, "exclude_self": exclude_self, "scale_invariant": scale_invariant}
+    for mode in pairs.MODES:
+        wide = pairs.selection(pairs.pair_distances(rows, rows, SCHEMA, "rid"), rows.select(F.col("rid").alias("cand"), fit.alias("fitness")), mode, **more)
+        names = rows.select("rid", "state")
+        by_row = wide.join(names, "rid").join(names.toDF("cand", "to"), "cand").groupBy("rid", "state", "to").agg(F.sum("p").alias("p"))
+        want = {(r.state, r.to): r.p for r in by_row.collect()}
+        p = pairs.selection(pairs.pair_distances(states, states, SCHEMA, "state"), states.select(F.col("state").alias("cand"), fit.alias("fitness"), "k"), mode, count="k", **more)
+        got = {(r.rid, r.cand): r.p for r in p.collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+
+
+def test_donors_come_from_all_rows_of_a_large_table(spark):
+    start = spark.range(3000).select(F.col("id").alias("rid"), F.when(F.col("id") == 7, "a").otherwise("b").alias("x"), F.lit(0).alias("n"))
+    queries = [{"conditions": [eq("x", "a")]}]
+    a = workload.evaluate(start, queries).withColumnRenamed("answer", "q").withColumn("eps", F.lit(0.9))
+    config = engine.Config(n_records=3000, mode="none")
+    donors = engine._donors(start, a, queries, SCHEMA, config, 1, 1.0)
+    # Row 7 alone is fitter, by 0.9: one draw in 3000 / e^0.9 goes to it.
+    assert donors.count() == 3000 and 0 < donors.where("x = 'a'").count() < 10
+    with pytest.raises(ValueError, match="pool"):
+        engine.Config(n_records=3000, pool=512, exclude_self=True)
+
+
 def test_exact_target_stops(spark):
     start = init.random_table(spark, SCHEMA, 20, 3)
     targets = workload.evaluate(start, QUERIES).withColumnRenamed("answer", "target")
