@@ -666,28 +666,27 @@ def t08(spark, sf_dir):
 # Drivers.
 
 
-def _small_run(spark, sf_dir, **more):
-    targets = workload.evaluate(customers(spark, sf_dir), CUSTOMER_WORKLOAD).select("qid", F.col("answer").alias("full"))
-    n = customers(spark, sf_dir).count()
-    targets = targets.select("qid", F.round(F.col("full") * 120 / n).cast("long").alias("target"))
-    return targets, engine.Config(n_records=120, rounds=2, seed=SEED, **more)
+def _run(spark, sf_dir, **more):
+    table = customers(spark, sf_dir)
+    targets = workload.evaluate(table, CUSTOMER_WORKLOAD).select("qid", F.col("answer").cast("long").alias("target"))
+    return targets, engine.Config(n_records=table.count(), rounds=2, seed=SEED, **more)
 
 
 @query("e01_evolution")
 def e01(spark, sf_dir):
-    targets, config = _small_run(spark, sf_dir)
+    targets, config = _run(spark, sf_dir)
     best, _ = engine.run_evolution(spark, CUSTOMER_WORKLOAD, targets, CUSTOMER_SCHEMA, config)
     return best
 
 
 @query("e02_fixed_process")
 def e02(spark, sf_dir):
-    targets, config = _small_run(spark, sf_dir)
+    targets, config = _run(spark, sf_dir)
     return engine.run_fixed_process(spark, CUSTOMER_WORKLOAD, targets, CUSTOMER_SCHEMA, config)[0]
 
 
 @query("e06_retries")
 def e06(spark, sf_dir):
-    targets, config = _small_run(spark, sf_dir, max_retries=1, strength=1.0)
+    targets, config = _run(spark, sf_dir, max_retries=1, strength=1.0)
     _, said = engine.run_evolution(spark, CUSTOMER_WORKLOAD, targets, CUSTOMER_SCHEMA, config)
     return spark.createDataFrame([(r["round"], float(r["loss"]), bool(r["accepted"])) for r in said["rounds"]], "round int, loss double, accepted boolean")

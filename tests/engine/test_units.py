@@ -256,6 +256,12 @@ def test_donors_come_from_all_rows_of_a_large_table(spark):
         engine.Config(n_records=3000, pool=512, exclude_self=True)
 
 
+def test_driver_query_rewrites_a_table_of_full_size(spark):
+    from countloom.plans import QUERIES as registered
+
+    assert registered["e01_evolution"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count() != 120
+
+
 def test_exact_target_stops(spark):
     start = init.random_table(spark, SCHEMA, 20, 3)
     targets = workload.evaluate(start, QUERIES).withColumnRenamed("answer", "target")
