@@ -1,25 +1,39 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-Tokens are words and one end a text.  The ``HEAD`` most frequent are dealt into
-``HEAD_CLASSES`` classes; all others fall into ``TAIL_CLASSES`` classes by a hash of
-their last two bytes.  A token's probability is P(class | context) times
-P(token | class, context) for a head token, or times the token's smoothed share
-of its class, (c + 1/2) / (N_class + (V_class + 1) / 2), for another; unknown
-words share one place in their class, so the whole sums to one.  Both
-conditional parts are softmaxes over hashed features: the word before, the word
-before that (a skip feature), and the pair of them.
-
-Counts are exact over all training texts.  Frequent words' counts (at most
-``TABLE`` of them) are broadcast; the others are joined, word by word, with the
-documents' words.  Training takes ``ROUNDS`` passes, each over another part of the
-training texts, all of them once in total: every task makes AdaGrad updates
-from the shared weights, and the weights' changes, averaged by how often each
-feature occurred, become the next shared weights.  The weights' size is fixed.
+Tokens are words and one end a text.  A word's *spelling* is a hash of its first
+byte and its last two; spellings are dealt into ``GROUPS`` classes by which
+spellings stand next to which in the training texts (k-means over exact counts).
+The most frequent words (``Counts.head`` of them, the end included) are predicted
+one by one, all others by their spelling, times the word's smoothed share
+of its spelling, (c + 1/2) / (N_s + (V_s + 1) / 2); unknown words share one place
+in their spelling, so the whole sums to one:
+
+    P(token) = P(class | context) P(word or spelling | class, context) share
+
+Both conditional parts are softmaxes.  The class has a weight for the
+word before (a), for the word before that (b, a skip feature), and for the hashed
+pair of them; the word within its class has a weight for the word before.
+Contexts are frequent words, or hashed spellings.
+
+What the model learns from is counted over all training texts: how often each class
+follows each (a, b), and each target each a.  These counts are additive and sparse;
+their number, the number of words predicted one by one and that of contexts grow
+with the texts until the weights reach what may be broadcast (``HEAD_BITS``).
+One row holds all that was counted after one a.  A training round is a gradient step
+over all rows: weights with an a belong to one row and are stepped where the row
+lies; the skip weights are shared, and their gradient is added up over the rows.
+Steps are divided by the counts behind a weight, so they need no rate that depends
+on the amount of text.  Nothing depends on how texts fall into tasks.
+
+Counts of words are exact.  Frequent words' counts (at most ``TABLE`` of them)
+are broadcast; the others are joined, word by word, with the documents' words.
 
 A word is known to the operator by a 64-bit hash of its bytes.  Cases: a null
 text is an empty one and has the end as its one token; a null id is as an empty
-one for the choice of training rows; repeated rows are scored one by one; with
-no training text every token is unknown and the base score is 0.
+one for the choice of training rows; repeated rows are scored one by one; a very
+long text is held whole, with some hundred bytes of scratch for each of its words;
+equal counts are ranked by hash; columns of ``docs`` that clash with the results
+are replaced; with no training text every token is unknown and the base score is 0.
 """
 
 from __future__ import annotations
@@ -32,21 +46,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm._spark import cut, fold, importable, table
+from countloom.llm._spark import cut, fold, forget, importable, table
 from countloom.llm._words import NON_SPACE, Words, chunks, mix64
 
 TABLE = 1 << 18
-HEAD_CLASSES, TAIL_CLASSES, PER_CLASS = 32, 32, 32
-HEAD = HEAD_CLASSES * PER_CLASS  #: with the end, which has rank 0
-CLASSES = HEAD_CLASSES + TAIL_CLASSES
-BUCKETS, SMALL = 2048, 256
-ROUNDS = 3
-STEP = 0.15
-BATCH = 16384
+SPELLINGS, GROUPS = 1024, 32
+#: Words predicted one by one, and as many contexts: at least and at most so many bits; the most is 50 MB of weights.
+HEAD_BITS = (10, 11)
+SKIPS, SLOTS = 128, 32  #: contexts of the skip feature; hashed pairs for each word before
+ROUNDS, STEP, PRIOR = 6, 0.5, 1.0
+_PAIRS = -2  #: kind of a count of neighbouring spellings
 _END = np.uint64(0x5851F42D4C957F2D)  #: stands for the end among word hashes
 _LN10 = np.log(10.0)
-#: Weights travel in so many blocks, and are summed by so many groups first.
-BLOCKS, GROUPS = 32, 16
+#: The slot of each skip context within a word before.
+_SLOT = (mix64(np.arange(SKIPS, dtype=np.uint64) + np.uint64(77)) % np.uint64(SLOTS)).astype(np.int64)
 
 
 class Counts(NamedTuple):
@@ -56,23 +69,24 @@ class Counts(NamedTuple):
     tokens: int  #: N
     distinct: int  #: V
     texts: int  #: training texts, the count of the end
-    head: np.ndarray  #: count by rank below HEAD
-    tail_tokens: np.ndarray  #: N by tail class
-    tail_words: np.ndarray  #: V by tail class
+    head: np.ndarray  #: count by rank of the words predicted one by one
+    tail_tokens: np.ndarray  #: N by spelling, without head words
+    tail_words: np.ndarray  #: V by spelling, without head words
+    group: np.ndarray  #: class of each target: head words by rank, then spellings
 
 
-def suffixes(w: Words) -> np.ndarray:
-    """The tail class of each word."""
-    last, more = w.data[w.ends - 1].astype(np.uint32), w.ends - w.starts > 1
-    second = np.where(more, w.data[np.maximum(w.ends - 2, 0)], 0).astype(np.uint32)
-    return ((last * 0x9E3779B1 + second * 0x85EBCA6B) >> np.uint32(27)).astype(np.int64)
+def spellings(w: Words) -> np.ndarray:
+    first, last = w.data[w.starts].astype(np.uint64), w.data[w.ends - 1].astype(np.uint64)
+    second = np.where(w.ends - w.starts > 1, w.data[np.maximum(w.ends - 2, 0)], 0).astype(np.uint64)
+    return (mix64(first << np.uint64(16) | second << np.uint64(8) | last) >> np.uint64(64 - 10)).astype(np.int64)
 
 
 def _gather(docs: DataFrame) -> DataFrame:
-    """(word, kind, n) over the training texts; the end is a word of its own."""
+    """(word, kind, n) over the training texts: words by spelling, the end (-1), neighbouring spellings (-2)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        pairs = np.zeros(SPELLINGS * SPELLINGS, np.int64)
 
         def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -83,27 +97,59 @@ def _gather(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts += batch.num_rows
             for _, _, w in chunks(batch.column(0), NON_SPACE):
+                spelled = spellings(w)
                 h, first, n = np.unique(w.hashes(), return_index=True, return_counts=True)
-                held.append((h, suffixes(w)[first], n))
+                held.append((h, spelled[first], n))
+                inner = np.ones(len(spelled), bool)
+                inner[w.ptr[:-1][np.diff(w.ptr) > 0]] = False
+                at = np.flatnonzero(inner)
+                np.add.at(pairs, spelled[at - 1] * SPELLINGS + spelled[at], 1)
                 if sum(len(x[0]) for x in held) > 1_500_000:
                     held[:] = [merged()]
                     if len(held[0][0]) > 1_000_000:
                         yield _rows(held.pop())
         if held:
             yield _rows(merged())
+        seen = np.flatnonzero(pairs)
+        yield _rows((seen.astype(np.uint64), np.full(len(seen), _PAIRS), pairs[seen]))
         yield _rows((np.array([_END]), np.array([-1]), np.array([texts])))
 
     def _rows(x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"word": pa.array(x[0].view(np.int64)), "kind": pa.array(x[1], pa.int32()), "n": pa.array(x[2], pa.int64())})
 
     rows = docs.mapInArrow(count, "word long, kind int, n long")
-    return rows.groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n")).where("n > 0")
+    return rows.groupBy("word", "kind").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def classes_of(pairs: np.ndarray, groups: int = GROUPS, rounds: int = 15) -> np.ndarray:
+    """Class of each spelling: k-means over the square roots of what share of its neighbours has each spelling."""
+    near = np.concatenate([pairs, pairs.T], axis=1).astype(np.float32)
+    weight = near.sum(axis=1).astype(float)
+    x = np.sqrt(near / np.maximum(weight, 1)[:, None]).astype(np.float32)
+    chosen = [int(weight.argmax())]
+    gap = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    for _ in range(groups - 1):
+        chosen.append(int((gap * np.sqrt(weight)).argmax()))
+        gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    centre = x[chosen].copy()
+    for _ in range(rounds):
+        out = ((centre * centre).sum(axis=1)[None, :] - 2 * x @ centre.T).argmin(axis=1)
+        for k in range(groups):
+            mine = (out == k) & (weight > 0)
+            if mine.any():
+                centre[k] = (x[mine] * weight[mine, None]).sum(axis=0) / weight[mine].sum()
+    return out
+
+
+def head_size(tokens: int) -> int:
+    """Words predicted one by one: about half the square root of the tokens, within HEAD_BITS."""
+    return 1 << int(np.clip(np.log2(max(tokens, 1)) / 2 - 1, *HEAD_BITS))
 
 
 def count_words(docs: DataFrame, most: int = TABLE) -> tuple[Counts, DataFrame]:
     """Exact counts of the training texts ``docs`` (text): (what is broadcast, all other words' counts)."""
     counts = cut(_gather(docs))
-    by_kind = {r.kind: (r.n, r.v) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    by_kind = {r.kind: (r.n, r.v) for r in counts.where(F.col("kind") != _PAIRS).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     texts = by_kind.pop(-1, (0, 0))[0]
     words = counts.where("kind >= 0")
     # The count above which at most ``most`` words lie, from a histogram of some hundred rows.
@@ -120,18 +166,24 @@ def count_words(docs: DataFrame, most: int = TABLE) -> tuple[Counts, DataFrame]:
     order = np.lexsort((h, -n))
     rank = np.empty(len(h), np.int64)
     rank[order] = np.arange(1, len(h) + 1)
-    tail_tokens, tail_words = np.zeros(TAIL_CLASSES, np.int64), np.zeros(TAIL_CLASSES, np.int64)
+    total = sum(t for t, _ in by_kind.values()) + texts
+    size = head_size(total)
+    tail_tokens, tail_words = np.zeros(SPELLINGS, np.int64), np.zeros(SPELLINGS, np.int64)
     for k, (tokens, v) in by_kind.items():
         tail_tokens[k], tail_words[k] = tokens, v
-    head = np.zeros(HEAD, np.int64)
-    head[0] = texts
-    for i in order[: HEAD - 1]:
-        head[rank[i]] = n[i]
-        tail_tokens[kind[i]] -= n[i]
-        tail_words[kind[i]] -= 1
+    head, first = np.zeros(size, np.int64), order[: size - 1]
+    head[0], head[1 : len(first) + 1] = texts, n[first]
+    np.subtract.at(tail_tokens, kind[first], n[first])
+    np.subtract.at(tail_words, kind[first], 1)
+    # At most SPELLINGS squared rows, whatever the texts.
+    near = counts.where(F.col("kind") == _PAIRS).select("word", "n").toArrow()
+    pairs = np.zeros(SPELLINGS * SPELLINGS, np.int64)
+    pairs[near["word"].to_numpy()] = near["n"].to_numpy()
+    by_spelling = classes_of(pairs.reshape(SPELLINGS, SPELLINGS))
+    group = np.zeros(size + SPELLINGS, np.int64)
+    group[1 : len(first) + 1], group[size:] = by_spelling[kind[first]], by_spelling
     by = np.argsort(h)
-    total = sum(t for t, _ in by_kind.values()) + texts
-    out = Counts(h[by], rank[by], np.log10(n[by] + 0.5), int(total), sum(v for _, v in by_kind.values()) + (texts > 0), int(texts), head, tail_tokens, tail_words)
+    out = Counts(h[by], rank[by], np.log10(n[by] + 0.5), int(total), sum(v for _, v in by_kind.values()) + (texts > 0), int(texts), head, tail_tokens, tail_words, group)
     return out, words.where(~frequent).select("word", "n")
 
 
@@ -142,163 +194,197 @@ class Tokens(NamedTuple):
     rank: np.ndarray  #: 0 the end, from 1 by count, -1 not in the table
     at: np.ndarray  #: index in the table, -1 without
     hashes: np.ndarray
-    classes: np.ndarray
-    features: np.ndarray  #: three buckets a token
-    small: np.ndarray  #: two small buckets a token
+    target: np.ndarray  #: rank of a head word, or the head's size plus the spelling
+    before: np.ndarray  #: context of the word before
+    skip: np.ndarray  #: context of the word before that
 
 
 def tokens_of(w: Words, counts: Counts) -> Tokens:
-    texts, h = len(w.ptr) - 1, w.hashes()
+    texts, h, size = len(w.ptr) - 1, w.hashes(), len(counts.head)
     ptr = w.ptr + np.arange(texts + 1)
     n = int(ptr[-1])
     word = np.ones(n, bool)
     word[ptr[1:] - 1] = False
-    hashes, rank, at, kind = np.full(n, _END), np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64)
+    hashes, rank, at, spelled = np.full(n, _END), np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64)
     k = np.minimum(np.searchsorted(counts.hashes, h), max(0, len(counts.hashes) - 1))
     found = counts.hashes[k] == h if len(counts.hashes) else np.zeros(len(h), bool)
-    hashes[word], at[word], rank[word], kind[word] = h, np.where(found, k, -1), np.where(found, counts.rank[k] if len(counts.rank) else 0, -1), suffixes(w)
-    head = (rank >= 0) & (rank < HEAD)
-    classes = np.where(head, rank % HEAD_CLASSES, HEAD_CLASSES + kind)
-    bucket = np.where(head, rank, HEAD + kind * 31 + (hashes % np.uint64(31)).astype(np.int64))
-    little = np.where(head & (rank < 192), rank, 192 + kind)
-    one, two = np.full(n, BUCKETS - 1), np.full(n, BUCKETS - 1)
-    s_one, s_two = np.full(n, SMALL - 1), np.full(n, SMALL - 1)
-    one[1:], two[2:], s_one[1:], s_two[2:] = bucket[:-1], bucket[:-2], little[:-1], little[:-2]
-    first, second = ptr[:-1], ptr[:-1][np.diff(ptr) > 1] + 1
-    one[first] = two[first] = two[second] = BUCKETS - 1
-    s_one[first] = s_two[first] = s_two[second] = SMALL - 1
-    pair = (mix64((one * BUCKETS + two).astype(np.uint64)) >> np.uint64(53)).astype(np.int64)
-    return Tokens(ptr, rank, at, hashes, classes, np.stack([one, BUCKETS + two, 2 * BUCKETS + pair], 1), np.stack([s_one, SMALL + s_two], 1))
+    hashes[word], at[word], rank[word], spelled[word] = h, np.where(found, k, -1), np.where(found, counts.rank[k] if len(counts.rank) else 0, -1), spellings(w)
+
+    def context(contexts: int) -> np.ndarray:
+        half = contexts // 2
+        return np.where((rank >= 0) & (rank < half), rank, half + spelled % half)
+
+    target = np.where((rank >= 0) & (rank < size), rank, size + spelled)
+    # Context 0, the end, also stands before a text's first word.
+    before, skip = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    before[1:], skip[2:] = context(size)[:-1], context(SKIPS)[:-2]
+    first = ptr[:-1]
+    before[first] = skip[first] = skip[first[np.diff(ptr) > 1] + 1] = 0
+    return Tokens(ptr, rank, at, hashes, target, before, skip)
 
 
 class Weights(NamedTuple):
-    class_bias: np.ndarray
-    word_bias: np.ndarray  #: by class and place in it
-    classes: np.ndarray  #: feature x class
-    words: np.ndarray  #: (small feature, class) x place
+    """Logits; a has a context for each head word. Word logits are already log-probabilities within their class."""
+
+    bias: np.ndarray  #: class
+    before: np.ndarray  #: a x class
+    skip: np.ndarray  #: b x class
+    pair: np.ndarray  #: a x slot x class
+    log_sum: np.ndarray  #: a x b: log of the class softmax's denominator
+    words: np.ndarray  #: a x target
+
 
-    @staticmethod
-    def start(counts: Counts) -> Weights:
-        """Weights that give every token its overall share."""
-        by_class = np.concatenate([counts.head.reshape(PER_CLASS, HEAD_CLASSES).sum(axis=0), counts.tail_tokens]) + 0.5
-        within = counts.head.reshape(PER_CLASS, HEAD_CLASSES).T + 0.5
-        return Weights(
-            np.log(by_class / by_class.sum()).astype(np.float32),
-            np.log(within / within.sum(axis=1, keepdims=True)).astype(np.float32),
-            np.zeros((3 * BUCKETS, CLASSES), np.float32),
-            np.zeros((2 * SMALL * HEAD_CLASSES, PER_CLASS), np.float32),
-        )
+def token_scores(m: Weights, counts: Counts, t: Tokens) -> np.ndarray:
+    """log10 probability of every token, but for a tail token without its log10(c + 1/2)."""
+    g = counts.group[t.target]
+    log = m.bias[g] + m.before[t.before, g] + m.skip[t.skip, g] + m.pair[t.before, _SLOT[t.skip], g] - m.log_sum[t.before, t.skip]
+    log = log.astype(float) + m.words[t.before, t.target]
+    tail = t.target >= len(counts.head)
+    s = t.target[tail] - len(counts.head)
+    log[tail] -= np.log(counts.tail_tokens[s] + (counts.tail_words[s] + 1) / 2)
+    return log / _LN10
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, log of the normaliser)."""
-    top = z.max(axis=1, keepdims=True)
-    e = np.exp(z - top)
-    total = e.sum(axis=1, keepdims=True)
-    return e / total, (np.log(total) + top)[:, 0]
+def _class_bias(counts: Counts) -> np.ndarray:
+    size = np.bincount(counts.group, weights=np.concatenate([counts.head, counts.tail_tokens]), minlength=GROUPS) + 0.5
+    return np.log(size / size.sum())
 
 
-def _class_logits(m: Weights, f: np.ndarray) -> np.ndarray:
-    z = m.classes[f[:, 0]] + m.class_bias
-    z += m.classes[f[:, 1]]
-    z += m.classes[f[:, 2]]
-    return z
+def _word_bias(counts: Counts) -> np.ndarray:
+    size = np.concatenate([counts.head, counts.tail_tokens]) + 0.5
+    return np.log(size / np.bincount(counts.group, weights=size, minlength=GROUPS)[counts.group])
 
 
-def _word_logits(m: Weights, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return m.words[rows[:, 0]] + m.words[rows[:, 1]] + m.word_bias[classes]
+def class_logs(bias: np.ndarray, before: np.ndarray, skip: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log P(class | a, b), log of its denominator) for some a and every b."""
+    z = bias + before[:, None, :] + skip[None, :, :] + pair[:, _SLOT, :]
+    top = z.max(axis=2, keepdims=True)
+    log_sum = np.log(np.exp(z - top).sum(axis=2, keepdims=True)) + top
+    return z - log_sum, log_sum[:, :, 0]
 
 
-def token_scores(m: Weights, counts: Counts, t: Tokens) -> np.ndarray:
-    """log10 probability of every token, but for a tail token without its log10(c + 1/2)."""
-    out = np.empty(len(t.rank))
-    tail = np.log(np.maximum(counts.tail_tokens + (counts.tail_words + 1) / 2, 0.5))
-    for low in range(0, len(out), BATCH):
-        c, f, rank = (x[low : low + BATCH] for x in (t.classes, t.features, t.rank))
-        z = _class_logits(m, f)
-        log = z[np.arange(len(c)), c] - _softmax(z)[1]
-        head = np.flatnonzero(c < HEAD_CLASSES)
-        z = _word_logits(m, t.small[low : low + BATCH][head] * HEAD_CLASSES + c[head, None], c[head])
-        log = log.astype(float)
-        log[head] += z[np.arange(len(head)), rank[head] // HEAD_CLASSES] - _softmax(z)[1]
-        other = c >= HEAD_CLASSES
-        log[other] -= tail[c[other] - HEAD_CLASSES]
-        out[low : low + BATCH] = log / _LN10
-    return out
+def stepped(weight: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """One gradient step of the penalised log-likelihood, divided by the counts behind each weight."""
+    return weight + STEP * (seen - expected - PRIOR * weight) / (np.maximum(seen, expected) + PRIOR)
+
+
+def class_step(n: np.ndarray, bias: np.ndarray, before: np.ndarray, skip: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A step of the weights that belong to some a, from counts ``n`` (a x b x class): (before, pair, seen by b, expected by b)."""
+    expected = np.exp(class_logs(bias, before, skip, pair)[0]) * n.sum(axis=2, keepdims=True)
+    slots = np.zeros((SLOTS, SKIPS))
+    slots[_SLOT, np.arange(SKIPS)] = 1
+    return stepped(before, n.sum(axis=1), expected.sum(axis=1)), stepped(pair, slots @ n, slots @ expected), n.sum(axis=0), expected.sum(axis=0)
+
+
+def word_logs(bias: np.ndarray, weight: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """log P(target | class, a), a row for each a."""
+    z = weight + bias
+    total = np.stack([np.bincount(group, weights=row, minlength=GROUPS) for row in np.exp(z)])
+    return z - np.log(np.maximum(total, 1e-300))[:, group]
 
 
-def _update(weights: np.ndarray, seen: np.ndarray, often: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    """AdaGrad on the weight rows that a batch's features name."""
-    by = np.argsort(rows, kind="stable")
-    rows = rows[by]
-    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    g, r = np.add.reduceat(gradient[by], first, axis=0), rows[first]
-    often[r] += np.diff(np.append(first, len(rows)))
-    seen[r] += g * g
-    weights[r] -= STEP * g / np.sqrt(seen[r] + 1e-6)
-
-
-def train_on(m: Weights, state: dict[str, np.ndarray], t: Tokens) -> None:
-    """One pass of updates over ``t``; ``m`` is changed in place."""
-    for low in range(0, len(t.rank), BATCH):
-        c, f, rank = (x[low : low + BATCH] for x in (t.classes, t.features, t.rank))
-        p = _softmax(_class_logits(m, f))[0]
-        p[np.arange(len(c)), c] -= 1
-        for k in range(3):
-            _update(m.classes, state["classes"], state["often"], f[:, k], p)
-        head = np.flatnonzero(c < HEAD_CLASSES)
-        if len(head):
-            rows = t.small[low : low + BATCH][head] * HEAD_CLASSES + c[head, None]
-            q = _softmax(_word_logits(m, rows, c[head]))[0]
-            q[np.arange(len(head)), rank[head] // HEAD_CLASSES] -= 1
-            for k in range(2):
-                _update(m.words, state["words"], state["often_words"], rows[:, k], q)
+def fit_words(n: np.ndarray, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
+    """:func:`word_logs` after ``rounds`` steps from counts ``n`` (a x target)."""
+    bias, weight = _word_bias(counts), np.zeros(n.shape)
+    often = np.stack([np.bincount(counts.group, weights=row, minlength=GROUPS) for row in n])[:, counts.group] if len(n) else np.zeros(n.shape)
+    for _ in range(rounds):
+        weight = stepped(weight, n, often * np.exp(word_logs(bias, weight, counts.group)))
+    return word_logs(bias, weight, counts.group)
+
+
+def _events(docs: DataFrame, shared, size: int) -> DataFrame:
+    """(key, n): how often each class follows each (a, b), then each target each a; key = a * width + place."""
+    targets = size + SPELLINGS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        classes, words = np.zeros(size * SKIPS * GROUPS, np.int32), np.zeros(size * targets, np.int32)
+        for batch in batches:
+            for _, _, w in chunks(batch.column(0), NON_SPACE):
+                t = tokens_of(w, counts)
+                np.add.at(classes, (t.before * SKIPS + t.skip) * GROUPS + counts.group[t.target], 1)
+                np.add.at(words, t.before * targets + t.target, 1)
+        for n, width, first in ((classes, SKIPS * GROUPS, 0), (words, targets, SKIPS * GROUPS)):
+            seen = np.flatnonzero(n)
+            for low in range(0, len(seen), 1 << 16):
+                at = seen[low : low + (1 << 16)]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(at // width * (SKIPS * GROUPS + targets) + first + at % width), "n": pa.array(n[at].astype(np.int64))})
+
+    return docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+_STATE = "a int, place binary, n binary, weights binary"
+
+
+def _state(events: DataFrame, width: int) -> DataFrame:
+    """One row for each a with all that was counted after it; its weights are zero."""
+
+    def build(rows: pa.Table) -> pa.Table:
+        key, n = rows["key"].to_numpy(), rows["n"].to_numpy()
+        by = np.argsort(key)
+        blob = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+        return pa.table({"a": pa.array([int(key[0]) // width], pa.int32()), "place": blob(key[by] % width, np.int32), "n": blob(n[by], np.int64), "weights": blob(np.zeros((1 + SLOTS) * GROUPS), np.float64)})
+
+    return events.groupBy(F.expr(f"key div {width}")).applyInArrow(build, _STATE)
+
+
+def _dense(batch: pa.RecordBatch, size: int, rows: int = 64) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, class counts, target counts, weights of a, weights of its pairs) of some rows of the state at a time."""
+    width = SKIPS * GROUPS + size + SPELLINGS
+    for low in range(0, batch.num_rows, rows):
+        part = batch.slice(low, rows)
+        n = np.zeros((part.num_rows, width))
+        for k, (place, often) in enumerate(zip(part["place"], part["n"], strict=True)):
+            n[k, np.frombuffer(place.as_buffer(), np.int32)] = np.frombuffer(often.as_buffer(), np.int64)
+        weights = np.stack([np.frombuffer(x.as_buffer()) for x in part["weights"]]).reshape(-1, 1 + SLOTS, GROUPS)
+        yield part["a"].to_pylist(), n[:, : SKIPS * GROUPS].reshape(-1, SKIPS, GROUPS), n[:, SKIPS * GROUPS :], weights[:, 0], weights[:, 1:]
 
 
 def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Weights:
-    """Weights learned from all of ``docs`` (text, part): part r is used in round r."""
-    spark = docs.sparkSession
-    m = Weights.start(counts)
-    shapes = (m.classes.shape, m.words.shape)
-    edges = [np.linspace(0, s[0], BLOCKS + 1).astype(int) for s in shapes]
-    for number in range(rounds):
-        shared = spark.sparkContext.broadcast((m, counts))
-
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            begin, table = shared.value
-            own = Weights(*(x.copy() for x in begin))
-            state = {"classes": np.zeros(shapes[0], np.float32), "words": np.zeros(shapes[1], np.float32), "often": np.zeros(shapes[0][0]), "often_words": np.zeros(shapes[1][0])}
-            group = 0
+    """Weights learned from all of ``docs`` (text)."""
+    spark, size = docs.sparkSession, len(counts.head)
+    shared = spark.sparkContext.broadcast(counts)
+    bias, skip = _class_bias(counts), np.zeros((SKIPS, GROUPS))
+    state = cut(_state(_events(docs.select("text"), shared, size), SKIPS * GROUPS + size + SPELLINGS))
+    for _ in range(rounds):
+
+        def step(batches: Iterator[pa.RecordBatch], skip=skip) -> Iterator[pa.RecordBatch]:
+            seen, expected = np.zeros(skip.shape), np.zeros(skip.shape)
             for batch in batches:
-                for i, _, w in chunks(batch.column(0), NON_SPACE):
-                    group += int(w.offsets[-1])
-                    train_on(own, state, tokens_of(w, table))
-            blocks, sums, often = [], [], []
-            for k, (new, old, n) in enumerate(((own.classes, begin.classes, state["often"]), (own.words, begin.words, state["often_words"]))):
-                for b in range(BLOCKS):
-                    rows = slice(edges[k][b], edges[k][b + 1])
-                    if n[rows].any():
-                        blocks.append(k * BLOCKS + b)
-                        sums.append(((new[rows] - old[rows]) * n[rows, None]).astype(np.float32).tobytes())
-                        often.append(n[rows].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int32()), "part": pa.array([group % GROUPS] * len(blocks), pa.int32()), "sums": pa.array(sums, pa.binary()), "often": pa.array(often, pa.binary())})
-
-        def add(rows: pa.Table) -> pa.Table:
-            total = lambda c: np.sum([np.frombuffer(x, np.float32) for x in rows[c].to_pylist()], axis=0, dtype=np.float32).tobytes()
-            return pa.table({"block": rows["block"][:1].cast(pa.int32()), "part": pa.array([0], pa.int32()), "sums": pa.array([total("sums")], pa.binary()), "often": pa.array([total("often")], pa.binary())})
-
-        kind = "block int, part int, sums binary, often binary"
-        changes = docs.where(F.col("part") == number).select("text").mapInArrow(learn, kind)
-        changes = changes.groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind)
-        m = Weights(m.class_bias, m.word_bias, m.classes.copy(), m.words.copy())
-        for row in changes.toArrow().to_pylist():
-            k, b = divmod(row["block"], BLOCKS)
-            rows = slice(edges[k][b], edges[k][b + 1])
-            target = (m.classes, m.words)[k]
-            n = np.frombuffer(row["often"], np.float32)
-            target[rows] += np.frombuffer(row["sums"], np.float32).reshape(-1, shapes[k][1]) / np.maximum(n, 1)[:, None]
-        shared.unpersist()
-    return m
+                new = []
+                for _, n, _, before, pair in _dense(batch, size):
+                    before, pair, some, likely = class_step(n, bias, before, skip, pair)
+                    seen, expected = seen + some, expected + likely
+                    new += [np.concatenate([before[k][None], pair[k]]).tobytes() for k in range(len(n))]
+                yield pa.RecordBatch.from_arrays([batch["a"], batch["place"], batch["n"], pa.array(new, pa.binary())], names=["a", "place", "n", "weights"])
+            yield pa.RecordBatch.from_pydict({"a": pa.array([-1], pa.int32()), "place": pa.array([None], pa.binary()), "n": pa.array([seen.tobytes()], pa.binary()), "weights": pa.array([expected.tobytes()], pa.binary())})
+
+        new = cut(state.mapInArrow(step, _STATE))
+        forget(state)
+        state = new.where("a >= 0")
+        # One row of 64 KB a task; the state's size, and so its tasks, are bounded.
+        sums = new.where("a < 0").select("n", "weights").toArrow()
+        seen, expected = (np.sum([np.frombuffer(x, np.float64) for x in sorted(sums[c].to_pylist())], axis=0).reshape(SKIPS, GROUPS) for c in ("n", "weights"))
+        skip = stepped(skip, seen, expected)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, n, before, pair in _dense(batch, size):
+                log_sum, words = class_logs(bias, before, skip, pair)[1], fit_words(n, shared.value, rounds)
+                blobs = [np.concatenate([x.reshape(-1) for x in row]).astype(np.float32).tobytes() for row in zip(before, pair, log_sum, words, strict=True)]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int32()), "row": pa.array(blobs, pa.binary())})
+
+    # What an a that never occurred has.
+    pair, zero = np.zeros((1, SLOTS, GROUPS)), np.zeros((1, GROUPS))
+    default = np.concatenate([np.zeros((1 + SLOTS) * GROUPS), class_logs(bias, zero, skip, pair)[1][0], _word_bias(counts)]).astype(np.float32)
+    rows = np.broadcast_to(default, (size, len(default))).copy()
+    for r in state.mapInArrow(finish, "a int, row binary").toArrow().to_pylist():
+        rows[r["a"]] = np.frombuffer(r["row"], np.float32)
+    forget(state)
+    shared.unpersist()
+    before, pair, log_sum, words = np.split(rows, np.cumsum([GROUPS, SLOTS * GROUPS, SKIPS]), axis=1)
+    single = lambda x: np.ascontiguousarray(x, np.float32)
+    return Weights(single(bias), single(before), single(skip), single(pair).reshape(size, SLOTS, GROUPS), single(log_sum), single(words))
 
 
 def score(docs: DataFrame, m: Weights, counts: Counts, others: DataFrame, text: str = "text") -> DataFrame:
@@ -318,7 +404,7 @@ def score(docs: DataFrame, m: Weights, counts: Counts, others: DataFrame, text:
                 inside = t.at >= 0
                 log[inside] = table.logs[t.at[inside]]
                 log[t.rank == 0] = np.log10(table.texts + 0.5)
-                scores = token_scores(weights, table, t) + np.where(t.classes >= HEAD_CLASSES, log, 0)
+                scores = token_scores(weights, table, t) + np.where(t.target >= len(table.head), log, 0)
                 starts = t.ptr[:-1]
                 n.append(np.diff(t.ptr))
                 known.append(np.add.reduceat((inside | ((t.rank == 0) & (table.texts > 0))).astype(np.int64), starts))
@@ -331,7 +417,7 @@ def score(docs: DataFrame, m: Weights, counts: Counts, others: DataFrame, text:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(ends)), pa.int32()), pa.array(cat(rare, np.int64)))
             yield pa.StructArray.from_arrays([pa.array(cat(n, np.int64)), pa.array(cat(known, np.int64)), pa.array(cat(base, float)), pa.array(cat(total, float)), lists], names=["n", "known", "base", "score", "rare"])
 
-    held = cut(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__lm", judge(F.col(text))).drop(text))
+    held = cut(docs.drop("n_tokens", "n_known", "base_score", "score").withColumn("__row", F.monotonically_increasing_id()).withColumn("__lm", judge(F.col(text))).drop(text))
     words = held.select("__row", F.explode("__lm.rare").alias("word")).groupBy("__row", "word").agg(F.count("*").alias("k"))
     seen = words.join(others, "word", "left").groupBy("__row").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("__log"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("__known")
@@ -352,8 +438,8 @@ def score(docs: DataFrame, m: Weights, counts: Counts, others: DataFrame, text:
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
     importable(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    training = docs.where(fold(F.col("doc_id")) % 5 != 1).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("part"))
-    counts, others = count_words(training.select("text"))
+    training = docs.where(fold(F.col("doc_id")) % 5 != 1).select("text")
+    counts, others = count_words(training)
     weights = train(training, counts)
     scored = score(docs, weights, counts, others)
     return scored.select("doc_id", (fold(F.col("doc_id")) % 5 == 1).alias("held_out"), "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
