@@ -6,6 +6,7 @@ import os
 import uuid
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +35,12 @@ def fold(column: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a private one only where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir; a private one only where that is unset and all runs on one machine (tests)."""
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        known = sc.getCheckpointDir()
-        base = known or f"file:///tmp/countloom-{os.getuid()}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or f"file:///tmp/countloom-{os.getuid()}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -48,12 +49,58 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = shared_folder(spark)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
 
 
 def forget(df: DataFrame) -> None:
     """Deletes what :func:`cut` wrote for ``df``."""
     spark = df.sparkSession
-    for f in {str(x).rsplit("/", 1)[0] for x in df.inputFiles()}:
+    for f in {df._written_at} if hasattr(df, "_written_at") else {str(x).rsplit("/", 1)[0] for x in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """What an operator writes on the way; all but the result is deleted at the end."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def own(self, written: DataFrame) -> DataFrame:
+        self.held.append(written)
+        return written
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        return self.own(cut(df))
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        out = cut(df)
+        for x in self.held:
+            forget(x)
+        return out
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows (of a few numbers each); joined by key beyond."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+class Sieve:
+    """A bit for each of some 64-bit values: says at once that a value is not among them, or that it may be.
+
+    At most 2^most bits (16 MB) are gathered and broadcast; beyond some hundred
+    million values more and more others pass, and what follows must sort them out.
+    """
+
+    def __init__(self, values: DataFrame, column: str, most: int = 27):
+        self.bits = min(most, max(16, (8 * values.count()).bit_length()))
+        at = F.pmod(F.col(column), F.lit(1 << self.bits))
+        words = values.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("v")).toArrow()
+        self.words = np.zeros(1 << (self.bits - 6), np.int64)
+        self.words[words["w"].to_numpy()] = words["v"].to_numpy()
+
+    def may_hold(self, values: np.ndarray) -> np.ndarray:
+        at = values.view(np.int64) & ((1 << self.bits) - 1)
+        return (self.words[at >> 6] >> (at & 63)) & 1 == 1

@@ -4,20 +4,26 @@ A run of lines of ``min_words`` words or more that occurs again later, in the
 order of (doc_id, line), is deleted there.  Lines are compared by their words;
 lines without a word do not count and are never deleted.
 
-A window is a shortest run of lines, from a line onwards or back from it, with
-``min_words`` words.  The line with the least hash in each window is its
-fingerprint, so two texts that share a run share the fingerprints of all
-windows in it (the guarantee of winnowing, here counted in words).  Fingerprints
-are joined by hash; those found at two positions or more are extended both ways
-to their windows, and equal windows are a match.  The union of the windows
-that matched an earlier place is exactly the union of all repeated runs: of a
-longer run, every window inside it matches.  The first occurrence of a line is
-never deleted, as no window with it occurs earlier.
+1.  A window is a shortest run of lines, from a line onwards or back from it, with
+    ``min_words`` words.  The line with the least hash in each window is its
+    fingerprint, so two texts that share a run share the fingerprints of all
+    windows in it (the guarantee of winnowing, here counted in words).  Each text
+    hands in its distinct fingerprints; hashes found at two places or more are kept.
+2.  A second scan finds the places of those (through a bit sieve of bounded size).
+    Each is extended both ways to all windows that it stands for, and these are joined by
+    the hash of their lines: equal windows are a match.  Places without a repeated
+    fingerprint send nothing.
+3.  The union of the windows that matched an earlier place is exactly the union of
+    all repeated runs: of a longer run, every window inside it matches.  The first
+    occurrence of a line is never deleted, as no window with it occurs earlier.
+    Only texts that lose lines are joined with what they lose.
 
 Cases: a null text has no lines and stays null.  A null id counts as the least
-id.  Rows with the same id and text are one document to this operator: their
-common lines are no repeats, and what is deleted in one is deleted in all.
-Other columns are left alone; empty tables give empty results.
+id; ids may have any type that can be ordered.  Rows with the same id and text are
+one document to this operator: their common lines are no repeats, and what is
+deleted in one is deleted in all.  A very long text is scanned whole, in one piece.
+Other columns are left alone (one that clashes with the result is replaced); empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm._spark import cut, importable, table
+from countloom.llm._spark import Sieve, cut, forget, importable, table
 from countloom.llm._words import NON_SPACE, Words, chunks, mix64, span_hash
 
 MIN_WORDS = 50
@@ -69,28 +75,53 @@ def windows(h: np.ndarray, n: np.ndarray, text: np.ndarray, least: int) -> tuple
     return first, past, chosen
 
 
-def _prints(docs: DataFrame, least: int) -> DataFrame:
-    """(seed, id, mark, run): every window, with its fingerprint's hash, its own hash and its lines."""
+def _fingerprints(docs: DataFrame, least: int) -> DataFrame:
+    """(seed): the hashes of fingerprints that are found at two places or more of ``docs`` (text)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> pa.RecordBatch:
+            seed, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            seed, at = np.unique(seed, return_inverse=True)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"seed": pa.array(seed.view(np.int64)), "n": pa.array(np.bincount(at, weights=n).astype(np.int64))})
+
+        for batch in batches:
+            for _, _, w in chunks(batch.column(0), NON_SPACE, lower=False):
+                h, n, _, text = worded_lines(w)
+                held.append(np.unique(h[np.unique(windows(h, n, text, least)[2])], return_counts=True))
+            if sum(len(x[0]) for x in held) > 1_000_000:
+                yield merged()
+        if held:
+            yield merged()
+
+    return docs.mapInArrow(scan, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
+
+
+def _extended(docs: DataFrame, seeds, least: int) -> DataFrame:
+    """(id, mark, run, low, high): the windows whose fingerprint may be among ``seeds``, with their lines' hash."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, w in chunks(batch.column(2), NON_SPACE, lower=False):
                 h, n, number, text = worded_lines(w)
                 first, past, chosen = windows(h, n, text, least)
+                again = seeds.value.may_hold(h[chosen])
+                first, past = first[again], past[again]
                 rows = pa.array(text[first] + i)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h[chosen].view(np.int64)),
                         batch.column(0).take(rows),
                         batch.column(1).take(rows),
                         pa.array(mix64(span_hash(h, first, past)).view(np.int64)),
                         pa.array(number[first], pa.int32()),
                         pa.array(number[past - 1] if len(past) else number[:0], pa.int32()),
                     ],
-                    names=["seed", "id", "mark", "run", "low", "high"],
+                    names=["id", "mark", "run", "low", "high"],
                 )
 
-    return docs.mapInArrow(scan, "seed long, id long, mark long, run long, low int, high int")
+    return docs.mapInArrow(scan, f"id {docs.schema['id'].dataType.simpleString()}, mark long, run long, low int, high int")
 
 
 _CLEAN = "struct<text:string,n_lines:int,n_words:int,removed:array<int>,n_removed_words:int>"
@@ -120,18 +151,32 @@ def _clean(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id", out: str = "line_dedup") -> DataFrame:
     """``docs`` with a struct column ``out``: text without repeated runs, n_lines, n_words, removed (line numbers), n_removed_words."""
-    importable(docs.sparkSession)
-    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("mark")]
-    prints = cut(_prints(docs.select(*key, F.col(text)), min_words))
-    repeated = prints.groupBy("seed").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "low")).alias("a"), F.max(F.struct("id", "mark", "low")).alias("b"))
-    repeated = repeated.where((F.col("n") > 1) & (F.col("a") != F.col("b"))).select("seed")
-    near = prints.join(repeated, "seed", "left_semi")
+    spark = docs.sparkSession
+    importable(spark)
+    key = {"__id": F.col(doc_id), "__mark": F.xxhash64(text)}
+    seeds = cut(_fingerprints(docs.select(text), min_words))
+    sieve = spark.sparkContext.broadcast(Sieve(seeds, "seed"))
+    forget(seeds)
+    found = cut(_extended(docs.select(key["__id"].alias("id"), key["__mark"].alias("mark"), F.col(text)), sieve, min_words))
     place: Column = F.struct("id", "mark", "low")
-    first = near.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("run", "first")
-    later = near.join(first, "run").where(place > F.col("first"))
-    gone = later.groupBy("id", "mark").agg(F.collect_list("low").alias("__low"), F.collect_list("high").alias("__high"))
-    joined = docs.withColumns({"__id": key[0], "__mark": key[1]}).join(gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__low", "__high"), ["__id", "__mark"], "left")
-    return joined.withColumn(out, F.arrow_udf(_clean, _CLEAN)(F.col(text), F.col("__low"), F.col("__high"))).drop("__id", "__mark", "__low", "__high")
+    first = found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("run", "first")
+    # One row a run on the right: a frequent run's places are split among tasks (AQE), each with that row.
+    later = found.join(first, "run").where(place > F.col("first"))
+    gone = cut(later.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_set(F.struct("low", "high")).alias("__gone")).withColumn("__key", F.xxhash64("__id", "__mark")))
+    forget(found)
+    loses = spark.sparkContext.broadcast(Sieve(gone, "__key"))
+
+    @F.arrow_udf("boolean")
+    def touched(keys: pa.Array) -> pa.Array:
+        return pa.array(loses.value.may_hold(keys.to_numpy(zero_copy_only=False)))
+
+    # The other columns travel as one, whose name cannot clash.
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), *(c.alias(k) for k, c in key.items())).withColumn("__touched", touched(F.xxhash64("__id", "__mark")))
+    hit, whole = keyed.where("__touched"), keyed.where("not __touched")
+    same = hit["__id"].eqNullSafe(gone["__id"]) & (hit["__mark"] == gone["__mark"])
+    rows = hit.join(gone, same, "left").select("__row", "__gone").unionAll(whole.select("__row", F.lit(None).cast(gone.schema["__gone"].dataType).alias("__gone")))
+    rows = rows.withColumn("__clean", F.arrow_udf(_clean, _CLEAN)(F.col(f"__row.{text}"), F.col("__gone.low"), F.col("__gone.high")))
+    return rows.select(*(F.col(f"__row.`{c}`") for c in docs.columns if c != out), F.col("__clean").alias(out))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
