@@ -6,22 +6,23 @@
 2.  Nodes that share a band are candidates.  They are joined with the band's
     least node, never pair by pair, and connected through it into clusters.
 3.  The full sets of the nodes in clusters (a second scan, thinned by a bit sieve
-    of fixed size) are compared exactly, in tiles of a few hundred nodes: all
-    intersection sizes of a tile come from products of 0/1 matrices.  A tile
-    returns a spanning forest of its links, found by union-find.
-4.  A cluster of up to ``TILE`` nodes is compared in one tile.  A larger one
-    first passes two rounds of random tiles, which join a group of near copies
-    at a cost in proportion to its size; then every two nodes that are still in
-    different components meet in a tile.  Only tiles within one component are
-    left out, so no link between components is lost.
+    of bounded size) are compared exactly, in tiles of at most a few hundred nodes and
+    some megabytes: all intersection sizes of a tile come from products of 0/1
+    matrices.  A tile returns a spanning forest of its links, found by union-find.
+4.  A cluster that fits a tile is compared in one.  A larger one first passes two
+    rounds of random tiles, which join a group of near copies at a cost in
+    proportion to its size; then the nodes that share a band but are still in
+    different components meet in tiles, band by band.
 
 Bands of 5 of 120 values miss a pair at the similarity of 0.85 with a
 probability of 8e-7.
 
 Cases: a text without words, or null, has an empty set and is linked with
-nothing.  Documents with equal ids count as one when components are named; a
-null id never names a component that has another.  Empty tables give empty
-results; other columns are ignored.
+nothing.  Repeated rows are members of one node.  Documents with equal ids count as
+one when components are named; a null id never names a component that has another.
+A very long text is scanned whole, with 120 bytes of scratch for each shingle; two sets
+always meet, whatever their size.  Empty tables give empty results; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm._spark import cut, forget, importable, table
+from countloom.llm._spark import Scratch, Sieve, importable, small, table
 from countloom.llm._words import NON_SPACE, chunks
 from countloom.llm.graph import TASK_EDGES, components
 from countloom.llm.superminhash import bands, set_keys, shingle_sets, signatures
@@ -41,7 +42,7 @@ from countloom.llm.superminhash import bands, set_keys, shingle_sets, signatures
 VALUES = 120
 BAND_ROWS = 5
 TILE = 256
-SIEVE_BITS = 25
+TILE_BYTES = 16 << 20  #: of the sets that meet in a tile
 #: Bytes of text whose signatures are made at once; each shingle holds a permutation of the values meanwhile.
 SCAN_BYTES = 1 << 20
 
@@ -67,45 +68,26 @@ def _fingerprints(docs: DataFrame, words: int, values: int, rows: int) -> DataFr
                     names=["doc_id", "n_shingles", "key", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n_shingles long, key binary, bands array<long>")
-
-
-def _sieve(ids: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
-    """A bit for each hash of ``ids``; 2^bits bits, gathered as at most 2^(bits - 6) words."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    words = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("v")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["w"].to_numpy()] = words["v"].to_numpy()
-    return out
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``nodes`` (key, doc_id, ...) with ``shingles``, each node's from the document that names it."""
+    """``nodes`` (key, doc_id, ...) with ``shingles``, each node's from a document with its set."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_sieve(nodes))
+    shared = spark.sparkContext.broadcast(Sieve(nodes.select(F.xxhash64("doc_id").alias("at")), "at"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            likely = np.flatnonzero((shared.value[at >> 6] >> (at & 63)) & 1)
-            ids, texts = batch.column(0).take(pa.array(likely)), batch.column(1).take(pa.array(likely))
-            for i, j, w in chunks(texts, NON_SPACE):
+            likely = np.flatnonzero(shared.value.may_hold(batch.column(1).to_numpy()))
+            for i, j, w in chunks(batch.column(0).take(pa.array(likely)), NON_SPACE):
                 h, ptr = shingle_sets(w, words)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids[i:j],
-                        pa.array([k.tobytes() for k in set_keys(h, ptr)], pa.binary()),
-                        pa.array([h[ptr[d] : ptr[d + 1]].tobytes() for d in range(j - i)], pa.binary()),
-                    ],
-                    names=["id", "k", "shingles"],
+                    [pa.array([k.tobytes() for k in set_keys(h, ptr)], pa.binary()), pa.array([h[ptr[d] : ptr[d + 1]].tobytes() for d in range(j - i)], pa.binary())],
+                    names=["k", "shingles"],
                 )
 
-    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SIEVE_BITS)))
-    found = asked.mapInArrow(scan, "id long, k binary, shingles binary")
-    # Bounds, not an equality, so that the join is by key alone and dropping repeats needs no second exchange.
-    least = F.lit(-(1 << 63))
-    mine, its = F.coalesce("id", least), F.coalesce("doc_id", least)
-    return found.join(nodes, (F.col("k") == F.col("key")) & (mine <= its) & (mine >= its)).dropDuplicates(["key"]).drop("id", "k")
+    found = docs.select("text", F.xxhash64("doc_id").alias("at")).mapInArrow(scan, "k binary, shingles binary")
+    return found.join(nodes, F.col("k") == F.col("key")).dropDuplicates(["key"]).drop("k")
 
 
 def links_of(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -161,59 +143,69 @@ def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
 
 
-def _across(nodes: DataFrame, tile: int) -> DataFrame:
-    """Places for ``nodes`` (cluster, node, comp): any two of a cluster in different components share a tile.
+def _parts(tile: int) -> Column:
+    """How many tiles a group of nodes needs, by number and by bytes."""
+    return F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("bytes") / F.lit(TILE_BYTES))).cast("long").alias("parts")
+
+
+def _across(nodes: DataFrame, bands: DataFrame, tile: int) -> DataFrame:
+    """Places for ``nodes`` (node, comp, bytes, shingles): any two that share a band, in different components, share a tile.
 
-    Nodes of a component of ``tile`` or more are dealt into blocks of their own;
-    the others are dealt into blocks by component.  Tiles are the pairs of
-    blocks, but not two of the same large component.
+    Within a band, nodes of a component that fills a tile are dealt into blocks of
+    their own; the others are dealt into blocks by component.  Tiles are the pairs
+    of blocks, but not two of the same large component.
     """
-    size = nodes.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    large = size.where(F.col("n") >= tile).select("cluster", "comp", F.ceil(F.col("n") / tile).alias("parts"))
-    rest = size.where(F.col("n") < tile).groupBy("cluster").agg(F.ceil(F.sum("n") / tile).alias("rest_parts"))
-    none = F.lit(None).cast("long")
-    spread = nodes.join(large, ["cluster", "comp"], "left").join(rest, "cluster", "left")
-    own = F.col("parts").isNotNull()
-    dealt = spread.withColumn("of", F.when(own, F.col("comp")).otherwise(none)).withColumn("block", F.when(own, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("rest_parts"))))
-    dealt = dealt.withColumn("name", F.xxhash64("cluster", F.coalesce("of", F.lit(-1)), "block"))
-    blocks = dealt.select("cluster", "of", "name").distinct()
-    other = blocks.select("cluster", F.col("of").alias("of2"), F.col("name").alias("name2"))
-    pairs = blocks.join(other, "cluster").where((F.col("name") <= F.col("name2")) & ~F.coalesce(F.col("of") == F.col("of2"), F.lit(False)))
-    pairs = pairs.withColumn("tile", F.xxhash64("cluster", "name", "name2"))
+    held = bands.join(nodes.select("node", "comp", "bytes"), "node")
+    several = held.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band")
+    held = held.join(several, "band", "left_semi")
+    size = held.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes"), _parts(tile))
+    own = size.where("parts > 1").select("band", "comp", "parts")
+    rest = size.where("parts = 1").groupBy("band").agg(F.greatest(F.ceil(F.sum("n") / tile), F.ceil(F.sum("all_bytes") / F.lit(TILE_BYTES))).alias("rest"))
+    spread = held.join(own, ["band", "comp"], "left").join(rest, "band", "left")
+    large = F.col("parts").isNotNull()
+    dealt = spread.withColumn("of", F.when(large, F.col("comp"))).withColumn("block", F.when(large, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("rest"))))
+    dealt = dealt.select("band", "of", F.xxhash64("band", F.coalesce("of", F.lit(-1)), "block").alias("name"), "node")
+    blocks = dealt.select("band", "of", "name").distinct()
+    other = blocks.select("band", F.col("of").alias("of2"), F.col("name").alias("name2"))
+    pairs = blocks.join(other, "band").where((F.col("name") <= F.col("name2")) & ~F.coalesce(F.col("of") == F.col("of2"), F.lit(False)))
+    pairs = pairs.withColumn("tile", F.xxhash64("band", "name", "name2"))
     members = pairs.select("tile", "name").union(pairs.select("tile", F.col("name2"))).distinct()
-    return dealt.select("node", "comp", "shingles", "name").join(members, "name").select("tile", "node", "comp", "shingles")
+    return dealt.join(members, "name").select("tile", "node").join(nodes.select("node", "comp", "shingles"), "node")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values: int = VALUES, rows: int = BAND_ROWS, tile: int = TILE, task_edges: int = TASK_EDGES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
     importable(docs.sparkSession)
-    prints = cut(_fingerprints(docs, words, values, rows))
-    classes = prints.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    scratch = Scratch()
+    prints = scratch.cut(_fingerprints(docs, words, values, rows))
+    classes = prints.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), (F.first("n_shingles") * 8).alias("bytes"))
+    classes = scratch.cut(classes.withColumn("node", F.monotonically_increasing_id()))
     banded = classes.select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
-    cluster = components(banded.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")), task_edges)
-    size = cluster.groupBy("label").agg(F.count("*").alias("members"))
-    near = cluster.join(size, "label").select(F.col("key").alias("node"), F.col("label").alias("cluster"), "members")
-    near = cut(near.join(classes.select("node", "key", "doc_id"), "node"))
-    nodes = cut(_sets(docs, near, words).select("cluster", "members", "node", "shingles", F.col("node").alias("comp")))
-    small, large = nodes.where(F.col("members") <= tile), nodes.where(F.col("members") > tile)
-    packs = max(1, small.count() * 2 // tile)
-    links = cut(_tile_links(small.withColumn("tile", F.pmod(F.xxhash64("cluster"), F.lit(packs))), percent))
+    cluster = scratch.own(components(banded.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b")), task_edges)).withColumnsRenamed({"key": "node", "label": "cluster"})
+    near = cluster.join(classes.drop("bands"), "node")
+    several = small(scratch.cut(near.groupBy("cluster").agg(_parts(tile)).where("parts > 1")))
+    near = scratch.cut(near.join(several, "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))))
+    nodes = scratch.cut(_sets(docs, near, words).select("cluster", "parts", "bytes", "node", "shingles", F.col("node").alias("comp")))
+    alone, large = nodes.where("parts = 1"), nodes.where("parts > 1")
+    total = alone.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
+    packs = max(1, total.n * 2 // tile, total.b * 2 // TILE_BYTES)
+    links = scratch.cut(_tile_links(alone.withColumn("tile", F.pmod(F.xxhash64("cluster"), F.lit(packs))), percent))
     if not large.isEmpty():
         for number in range(2):
-            dealt = large.withColumn("tile", F.xxhash64("cluster", F.pmod(F.xxhash64("node", F.lit(number)), F.ceil(F.col("members") / tile))))
-            links = cut(links.union(_tile_links(dealt, percent)))
-            large = cut(_relabel(large, links))
-        links = cut(links.union(_tile_links(_across(large, tile), percent)))
-    label = components(links, task_edges).withColumnRenamed("key", "node")
-    named = label.join(near.select("node", "key", "doc_id"), "node")
-    component = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(component, "label").select("node", "component_id")
-    every = classes.join(linked, "node", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = prints.select("doc_id", "n_shingles", "key").join(every, "key", "left")
+            dealt = large.withColumn("tile", F.xxhash64("cluster", F.pmod(F.xxhash64("node", F.lit(number)), F.col("parts"))))
+            links = scratch.cut(links.union(_tile_links(dealt, percent)))
+            large = scratch.cut(_relabel(large, links))
+        links = scratch.cut(links.union(_tile_links(_across(large, banded, tile), percent)))
+    label = scratch.own(components(links, task_edges)).withColumnRenamed("key", "node")
+    label = scratch.cut(label.join(near.select("node", "key", "doc_id"), "node"))
+    component = scratch.cut(label.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    linked = label.join(small(component), "label").select("key", "component_id")
+    out = prints.select("doc_id", "n_shingles", "key").join(
+        classes.select("key", F.col("doc_id").alias("least")).join(linked, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id")), "key", "left"
+    )
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return scratch.finish(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
 #: The contract of the query and of the pipeline's stage.
@@ -225,9 +217,24 @@ def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    kept = near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, PERCENT).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of each group of near duplicates, that with the least id; repeated rows and rows without an id are rows like others."""
+    scratch = Scratch()
+    rows = scratch.cut(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")))
+    found = scratch.own(near_duplicates(rows.select(F.col("number").alias("doc_id"), "row.text"), SHINGLE_WORDS, PERCENT)).select(F.col("doc_id").alias("number"), F.col("component_id").alias("group"), "kept")
+    groups = scratch.cut(found.where("not kept").select("group").distinct())
+    members = found.join(small(groups), "group", "left_semi").join(rows.select("number", "row.doc_id"), "number")
+    members = scratch.cut(members.select("group", "number", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number").alias("place")))
+    first = scratch.cut(members.groupBy("group").agg(F.min("place").alias("first")))
+    gone = scratch.cut(members.join(small(first), "group").where("number != first.number").select("number"))
+    sieve = spark.sparkContext.broadcast(Sieve(gone, "number"))
+
+    @F.arrow_udf("boolean")
+    def doubtful(numbers: pa.Array) -> pa.Array:
+        return pa.array(sieve.value.may_hold(numbers.to_numpy()))
+
+    asked = rows.withColumn("doubtful", doubtful("number"))
+    kept = asked.where("not doubtful").select("row").unionAll(asked.where("doubtful").join(gone, "number", "left_anti").select("row"))
+    return kept.select("row.*")
 
 
 QUERIES = {"op10_near_dedup": op10_near_dedup}
