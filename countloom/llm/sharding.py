@@ -2,22 +2,28 @@
 
 Documents are linked through hubs, never pair by pair: one hub for each text
 and one for each line, of any length but not blank, that several documents
-share.  A document's leading hub is its largest one that fits a shard;
-documents start in the shard their leading hub, or else their text, hashes to.
-In each round the members of every hub are counted by shard, a hub gives each
-shard the share of the other members there, each document sums the shares over all
-its hubs and asks to move to the shard with the largest sum, the requests
-between shards are reduced on the driver (a table of shards x shards) until no
-shard exceeds its quota, and that share of each request moves, documents of one
-leading hub together.  A last pass makes the row counts exact: shards
-with too many rows hand over unlinked documents first, then those whose hubs
-are all too large for one shard, then others, to the shards that lack rows.
+share.  A document's leading hub is its largest one that fits a shard.
+Documents start in the shard that their text hashes to.  In each round the members
+of every hub are counted by shard, a hub gives each shard the share of the other
+members there, each document sums the shares over all its hubs and asks to
+move to the shard with the largest sum, if that is larger than its own shard's.
+Even rounds move documents to higher shards, odd ones to lower, so linked documents do
+not swap places.  The requests between shards are reduced on the driver (a table
+of shards x shards) until no shard exceeds its quota, and that share of
+each request moves, documents of one leading hub together.  Rounds end when two in
+a row leave no more links uncut, or after ``rounds``; the best placement counts.
+A last pass makes the row counts exact: shards with too many rows hand over
+unlinked documents first, then those whose hubs are all too large for one shard,
+then others, to the shards that lack rows.
 
 Law: ``rows`` - counts differ by one at most.
 
-Cases: a null text has no bytes, size 8, CRC 0, and counts as an empty text.
-Repeated rows and null ids are rows like others.  With fewer rows than shards
-some shards stay empty; an empty table gives an empty result.
+Cases: a null text has no bytes, size 8, CRC 0, and counts as an empty text, as
+do all others without a line that is not blank; these are linked as equal texts.
+Ties between shards go by a hash that a leading hub's rows share.  Repeated rows
+and null ids are rows like others; other columns are ignored.  A very long text
+is split into lines in its own row.  With fewer rows than shards some shards stay
+empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,16 +32,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from countloom.llm._spark import cut, table
+from countloom.llm._spark import cut, forget, table
 
 SHARDS = 24
-ROUNDS = 3
+ROUNDS = 8
 #: Share by which a shard may exceed the mean between rounds.
 SLACK = 0.05
 #: Places that a shard's rows are ranked in side by side; with the shards they bound the table of counts.
 BUCKETS = 128
-#: Rows of one oversized hub are spread over so many places.
+#: Rows of a large hub are ranked in so many places.
 SALTS = 32
+_ONE = float(1 << 40)  #: shares are added up as whole numbers, so that sums do not depend on their order
 
 
 def _uniform(*columns: Column) -> Column:
@@ -62,30 +69,40 @@ def _links(base: DataFrame) -> DataFrame:
 
 
 def _with_lead(base: DataFrame, links: DataFrame, large: float) -> DataFrame:
-    """``base`` with (lead, linked): the largest hub of a row that fits a shard, by which rows move and rank together."""
+    """``base`` with (lead, members, linked): the largest hub of a row that fits a shard, by which rows move and rank together."""
     lead = F.max(F.when(F.col("members") <= large, F.struct("members", "hub")))
-    led = links.groupBy("rid").agg(lead.alias("l"), F.lit(True).alias("linked")).select("rid", F.col("l.hub").alias("lead"), "linked")
+    led = links.groupBy("rid").agg(lead.alias("l"), F.lit(True).alias("linked")).select("rid", F.col("l.hub").alias("lead"), "l.members", "linked")
     return base.drop("hubs").join(led, "rid", "left")
 
 
-def _wanted(state: DataFrame, links: DataFrame) -> DataFrame:
-    """(rid, to): the shard with the largest sum of the other members' shares over all hubs of a row; equal sums go by a hash that the leading hub's rows share."""
+def _votes(state: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the links with their rows' shards, for each hub the members by shard)."""
     placed = cut(links.join(state.select("rid", "lead", "shard"), "rid"))
-    votes = placed.groupBy("hub", "shard").agg(F.count("*").alias("n"))
-    # Whole numbers, so that sums do not depend on their order.
-    votes = votes.groupBy("hub").agg(F.collect_list(F.struct(F.col("shard").alias("to"), "n")).alias("votes"))
-    cast = placed.join(votes, "hub").select("rid", F.xxhash64("lead").alias("lead"), "shard", "members", F.explode("votes").alias("v"))
+    votes = placed.groupBy("hub", "members", "shard").agg(F.count("*").alias("n"))
+    return placed, cut(votes.groupBy("hub", "members").agg(F.collect_list(F.struct(F.col("shard").alias("to"), "n")).alias("votes")))
+
+
+def _uncut(votes: DataFrame) -> int:
+    """The links within shards, those of a hub weighed by 1 / (members - 1)."""
+    here = votes.select("members", F.explode("votes").alias("v")).select("members", "v.n")
+    return here.agg(F.sum((F.col("n") * (F.col("n") - 1) / (F.col("members") - 1) * 1024).cast("long"))).first()[0] or 0
+
+
+def _wanted(placed: DataFrame, votes: DataFrame) -> DataFrame:
+    """(rid, to): the shard with the largest sum of the other members' shares over all hubs of a row, the own one if none has more."""
+    cast = placed.join(votes.select("hub", "votes"), "hub").select("rid", F.xxhash64("lead").alias("lead"), "shard", "members", F.explode("votes").alias("v"))
     others = F.col("v.n") - (F.col("v.to") == F.col("shard")).cast("long")
-    share = F.floor(others / (F.col("members") - 1) * F.lit(float(1 << 40)))
-    summed = cast.groupBy("rid", "lead", "v.to").agg(F.sum(share).alias("sum"))
-    return summed.groupBy("rid").agg(F.max(F.struct("sum", F.xxhash64("lead", "to").alias("tie"), "to")).getField("to").alias("to"))
+    share = F.floor(others / (F.col("members") - 1) * F.lit(_ONE))
+    summed = cast.groupBy("rid", "lead", "shard", "v.to").agg(F.sum(share).alias("sum"))
+    return summed.groupBy("rid").agg(F.max(F.struct("sum", (F.col("to") == F.col("shard")).alias("own"), F.xxhash64("lead", "to").alias("tie"), "to")).getField("to").alias("to"))
 
 
-def propagate(state: DataFrame, links: DataFrame, shards: int, slack: float, number: int) -> DataFrame:
+def propagate(state: DataFrame, placed: DataFrame, votes: DataFrame, shards: int, slack: float, number: int) -> DataFrame:
     """One round: ``state`` with linked rows moved towards the shards that their hubs favour."""
     spark = state.sparkSession
-    asked = state.join(_wanted(state, links), "rid", "left")
-    asked = cut(asked.select(*state.columns, F.coalesce("to", F.col("shard")).alias("to"), _uniform(F.coalesce("lead", F.col("rid")), F.lit(number)).alias("u")))
+    onward = F.col("to") > F.col("shard") if number % 2 == 0 else F.col("to") < F.col("shard")
+    asked = state.join(_wanted(placed, votes), "rid", "left")
+    asked = cut(asked.select(*state.columns, F.when(onward, F.col("to")).otherwise(F.col("shard")).alias("to"), _uniform(F.coalesce("lead", F.col("rid")), F.lit(number)).alias("u")))
     flows = asked.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()
     requests, load = np.zeros((shards, shards)), np.zeros(shards)
     for r in flows:
@@ -95,11 +112,13 @@ def propagate(state: DataFrame, links: DataFrame, shards: int, slack: float, num
     share = _quota(requests, load, load.sum() / shards * (1 + slack) + 1)
     allowed = spark.createDataFrame([(i, j, float(share[i, j])) for i in range(shards) for j in range(shards) if share[i, j] > 0], "shard int, to int, share double")
     moved = asked.join(F.broadcast(allowed), ["shard", "to"], "left")
-    return moved.withColumn("shard", F.when(F.col("u") < F.coalesce("share", F.lit(0.0)), F.col("to")).otherwise(F.col("shard"))).select(*state.columns)
+    new = cut(moved.withColumn("shard", F.when(F.col("u") < F.coalesce("share", F.lit(0.0)), F.col("to")).otherwise(F.col("shard"))).select(*state.columns))
+    forget(asked)
+    return new
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK, text: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of every row of ``docs``."""
+    """(doc_id, size, text_crc32, shard, slot, n_links, n_cut) of every row of ``docs``; the last two count the other members of its hubs."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda s: F.trim(s) != "")
     base = cut(docs.select(
@@ -112,10 +131,27 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: f
     ))
     links = _links(base)
     state = _with_lead(base, links, base.count() / shards / 2)
-    state = cut(state.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("lead", "same"), F.lit(-1)), F.lit(shards)).cast("int")))
-    for number in range(rounds):
-        state = cut(propagate(state, links, shards, slack, number))
-    return _balance(state, shards)
+    state = cut(state.withColumn("shard", F.pmod(F.xxhash64("same", F.lit(-1)), F.lit(shards)).cast("int")))
+    forget(base)
+    best, most, idle, number = state, -1, 0, 0
+    while True:
+        placed, votes = _votes(state, links)
+        uncut = _uncut(votes)
+        idle = 0 if uncut > most else idle + 1
+        if uncut > most:
+            best, most = state, uncut
+        if idle == 2 or number == rounds:
+            break
+        state = propagate(state, placed, votes, shards, slack, number)
+        forget(placed)
+        forget(votes)
+        number += 1
+    out = cut(_balance(best, shards))
+    placed, votes = _votes(out.withColumn("lead", F.lit(None)), links)
+    here = F.aggregate(F.filter("votes", lambda v: v["to"] == F.col("shard")), F.lit(0).cast("long"), lambda n, v: n + v["n"])
+    linked = placed.join(votes.select("hub", "votes"), "hub").groupBy("rid").agg(F.sum(F.col("members") - 1).alias("n_links"), F.sum(F.col("members") - here).alias("n_cut"))
+    none = F.lit(0).cast("long")
+    return out.join(linked, "rid", "left").withColumns({"n_links": F.coalesce("n_links", none), "n_cut": F.coalesce("n_cut", none)}).drop("rid")
 
 
 def _balance(state: DataFrame, shards: int) -> DataFrame:
@@ -124,9 +160,12 @@ def _balance(state: DataFrame, shards: int) -> DataFrame:
     load = {r.shard: r.n for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     rows = sum(load.values())
     kind = F.when(F.col("linked").isNull(), 0).when(hub.isNull(), 1).otherwise(2)
-    place = F.when(kind == 1, F.pmod(F.xxhash64("rid"), F.lit(SALTS))).otherwise(F.pmod(F.xxhash64(F.coalesce(hub, F.col("rid"))), F.lit(BUCKETS)))
-    ranked = cut(state.select("rid", "doc_id", "size", "text_crc32", "shard", (kind * BUCKETS + place).cast("int").alias("place"), F.xxhash64(F.coalesce(hub, F.col("rid"))).alias("near")))
-    # Counts by shard and place: at most shards x 3 x BUCKETS rows, whatever the input.
+    # A hub of more rows than a place holds on average is dealt over places of its own bucket.
+    large = F.coalesce(F.col("members") > rows / shards / BUCKETS, F.lit(False))
+    salt = F.when((kind == 1) | large, F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(SALTS))).otherwise(0)
+    place = F.when(kind == 1, 0).otherwise(F.pmod(F.xxhash64(F.coalesce(hub, F.col("rid"))), F.lit(BUCKETS))) * SALTS + salt
+    ranked = cut(state.select("rid", "doc_id", "size", "text_crc32", "shard", (kind * BUCKETS * SALTS + place).cast("int").alias("place"), F.xxhash64(F.coalesce(hub, F.col("rid"))).alias("near")))
+    # Counts by shard and place: at most shards x 3 x BUCKETS x SALTS rows, most of them absent, whatever the input.
     counts = sorted((r.shard, r.place, r.n) for r in ranked.groupBy("shard", "place").agg(F.count("*").alias("n")).collect())
     first, before = [], {}
     for shard, at, n in counts:
@@ -151,12 +190,12 @@ def _balance(state: DataFrame, shards: int) -> DataFrame:
     for low, high, s, held in taken:
         here = goes & (spot >= low) & (spot < high)
         to, slot = F.when(here, F.lit(s)).otherwise(to), F.when(here, spot - low + held).otherwise(slot)
-    return ranked.select("doc_id", "size", "text_crc32", to.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return ranked.select("rid", "doc_id", "size", "text_crc32", to.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
     placed = assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_links", "n_cut")
 
 
 QUERIES = {"op4_sharding": op4_sharding}
