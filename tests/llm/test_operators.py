@@ -51,21 +51,38 @@ def test_bpe_against_the_library(spark, texts):
         assert mine.decode(ids) == mine.encode_strings(text)[1] == known.decode(ids, skip_special_tokens=False)
 
 
+def _log_sum(run, pieces, p):
+    """Log of the sum over all segmentations, one byte after the other."""
+    known = dict(zip(pieces, np.log(p), strict=True))
+    out, most = [0.0], max(map(len, pieces))
+    for j in range(1, len(run) + 1):
+        ways = [out[i] + known[run[i:j]] for i in range(max(0, j - most), j) if run[i:j] in known]
+        out.append(np.logaddexp.reduce(ways) if ways else -np.inf)
+    return out[-1]
+
+
 def test_forward_sums_all_segmentations():
+    """Short words, pieces of over 8 bytes, scripts without spaces, and a run of 10000 letters."""
+    pieces, rng = langid.default_pieces(), np.random.default_rng(0)
+    assert max(map(len, pieces)) > 16
+    p = rng.random(len(pieces))
+    p /= p.sum()
+    table = np.append(p, 0)[:, None]
+    made = " ".join("".join(rng.choice(list("abcdeéñ"), size=rng.integers(1, 70))) for _ in range(40))
+    texts = ["the internationalization of " + "abcdefghij" * 3, "日本語の文章は空白がないので長い列になる。" * 8 + "Привет—мир", "information" * 40, "", made, "q" + "zxj" * 3333]
+    total = 0.0
+    for _, _, w, _ in langid.letter_chunks(pa.array(texts)):
+        f = langid.Forward(langid.Pieces(pieces), w)
+        want = [_log_sum(b" " + w.data[a:b].tobytes(), pieces, p) for a, b in zip(w.starts, w.ends, strict=True)]
+        assert np.allclose(f.logs(table)[:, 0], want, rtol=1e-9)
+        expected = f.expected(table, np.bincount(f.inverse, minlength=f.count)[:, None].astype(float))
+        total = (expected[:-1, 0] * [len(x) for x in pieces]).sum()
+        assert np.isclose(total, (w.ends - w.starts + 1).sum())  # every byte lies in one piece of a segmentation
     pieces = [b" ", b"a", b"b", b" a", b"ab", b"ba", b" ab", b"bab"]
-    p = np.array([[0.2], [0.1], [0.15], [0.05], [0.1], [0.2], [0.1], [0.1], [0.0]])
+    p = np.array([0.2, 0.1, 0.15, 0.05, 0.1, 0.2, 0.1, 0.1])
     (_, _, w, _), = langid.letter_chunks(pa.array(["ab abab b", "bab"]))
-    f = langid.Forward(langid.Pieces(pieces), w)
-    got = np.exp(f.logs(f.sums(p)))[f.inverse, 0]
-
-    def brute(word: bytes) -> float:
-        if not word:
-            return 1.0
-        return sum(p[k, 0] * brute(word[len(x) :]) for k, x in enumerate(pieces) if word.startswith(x))
-
-    assert np.allclose(got, [brute(b" " + x) for x in (b"ab", b"abab", b"b", b"bab")])
-    counts = f.expected(p, np.ones((len(f.length), 1)))
-    assert np.isclose(sum(len(x) * counts[k, 0] for k, x in enumerate(pieces)), sum(f.length))
+    got = langid.Forward(langid.Pieces(pieces), w).logs(np.append(p, 0)[:, None])[:, 0]
+    assert np.allclose(got, [_log_sum(x, pieces, p) for x in (b" ab", b" abab", b" b", b" bab")])
 
 
 def test_language_id_on_held_out_rows(spark):
@@ -188,44 +205,89 @@ def test_lm_counts_and_scores(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_is_a_distribution():
-    """Over a closed vocabulary and one unknown word a class, the next token's probabilities sum to one."""
+def _toy_counts():
     words = [f"w{k}" for k in range(60)]
     (_, _, w), = chunks(pa.array([" ".join(words)]), NON_SPACE)
-    h, kind = w.hashes(), lm.suffixes(w)
-    order = np.argsort(h)
-    head = np.zeros(lm.HEAD, np.int64)
-    head[:11] = [5, *range(60, 50, -1)]
-    count = np.arange(60, 0, -1)
-    tail_tokens, tail_words = np.zeros(lm.TAIL_CLASSES, np.int64), np.zeros(lm.TAIL_CLASSES, np.int64)
+    h, kind, size = w.hashes(), lm.spellings(w), 16
+    order, count = np.argsort(h), np.arange(60, 0, -1)
+    head = np.array([5, *range(60, 45, -1)])
+    tail_tokens, tail_words = np.zeros(lm.SPELLINGS, np.int64), np.zeros(lm.SPELLINGS, np.int64)
+    np.add.at(tail_tokens, kind[15:], count[15:])
+    np.add.at(tail_words, kind[15:], 1)
+    by_spelling = np.arange(lm.SPELLINGS) % lm.GROUPS
+    group = np.concatenate([[0], by_spelling[kind[:15]], by_spelling])
     rank = np.arange(1, 61)
-    rank[10:] += lm.HEAD
-    np.add.at(tail_tokens, kind[10:], count[10:])
-    np.add.at(tail_words, kind[10:], 1)
-    counts = lm.Counts(h[order], rank[order], np.log10(count[order] + 0.5), int(count.sum()) + 5, 61, 5, head, tail_tokens, tail_words)
-    rng = np.random.default_rng(0)
-    m = lm.Weights.start(counts)
-    m = lm.Weights(m.class_bias, m.word_bias, rng.normal(0, 0.3, m.classes.shape).astype(np.float32), rng.normal(0, 0.3, m.words.shape).astype(np.float32))
-    total = 0.0
-    for x in [*words, None]:
-        (_, _, w), = chunks(pa.array(["w3 w20 " + (x or "")]), NON_SPACE)
+    return words, lm.Counts(h[order], rank[order], np.log10(count[order] + 0.5), int(count.sum()) + 5, 61, 5, head, tail_tokens, tail_words, group)
+
+
+def _toy_weights(counts):
+    rng, size = np.random.default_rng(0), len(counts.head)
+    bias, before, skip, pair = (rng.normal(0, 0.3, x) for x in (lm.GROUPS, (size, lm.GROUPS), (lm.SKIPS, lm.GROUPS), (size, lm.SLOTS, lm.GROUPS)))
+    word = lm.word_logs(lm._word_bias(counts), rng.normal(0, 0.3, (size, size + lm.SPELLINGS)), counts.group)
+    return lm.Weights(bias, before, skip, pair, lm.class_logs(bias, before, skip, pair)[1], word)
+
+
+def test_lm_is_a_distribution():
+    """Over a closed vocabulary and one unknown word a spelling, the next token's probabilities sum to one."""
+    words, counts = _toy_counts()
+    m = _toy_weights(counts)
+
+    def last(text):
+        (_, _, w), = chunks(pa.array([text]), NON_SPACE)
         t = lm.tokens_of(w, counts)
-        s = lm.token_scores(m, counts, t)[2]
-        if t.classes[2] >= lm.HEAD_CLASSES:
-            s += counts.logs[t.at[2]]
-        total += 10**s
-    (_, _, w), = chunks(pa.array(["w3 w20 w1"]), NON_SPACE)
-    t = lm.tokens_of(w, counts)
-    z = lm._class_logits(m, t.features)[2].astype(float)
-    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-    unknown = sum(p[lm.HEAD_CLASSES + k] * 0.5 / (tail_tokens[k] + (tail_words[k] + 1) / 2) for k in range(lm.TAIL_CLASSES))
-    spare = 0.0
-    for c, place in product(range(lm.HEAD_CLASSES), range(lm.PER_CLASS)):
-        if head[place * lm.HEAD_CLASSES + c] == 0:
-            rows = t.small[2:3] * lm.HEAD_CLASSES + c
-            q = lm._softmax(lm._word_logits(m, rows, np.array([c])))[0][0]
-            spare += p[c] * q[place]
-    assert np.isclose(total + unknown + spare, 1.0, atol=1e-4)
+        return t, 10 ** lm.token_scores(m, counts, t)
+
+    t, p = last("w3 w20 ")
+    total = p[2]
+    for x in words:
+        t, p = last("w3 w20 " + x)
+        total += p[2] * (10 ** counts.logs[t.at[2]] if t.target[2] >= len(counts.head) else 1)
+    # Unknown words: what every spelling keeps for them.
+    a, b = t.before[2], t.skip[2]
+    z = m.bias + m.before[a] + m.skip[b] + m.pair[a, lm._SLOT[b]]
+    share = np.exp(z) / np.exp(z).sum()
+    spelled = np.arange(lm.SPELLINGS) + len(counts.head)
+    total += (share[counts.group[spelled]] * np.exp(m.words[a, spelled]) * 0.5 / (counts.tail_tokens + (counts.tail_words + 1) / 2)).sum()
+    # Classes in which no word or spelling lies have no weight to give.
+    assert set(counts.group) == set(range(lm.GROUPS)) and np.isclose(total, 1.0, atol=1e-6)
+
+
+def test_lm_steps_follow_the_gradient():
+    """The steps of class and word weights against sums over single tokens."""
+    _, counts = _toy_counts()
+    m, size = _toy_weights(counts), len(counts.head)
+    rng = np.random.default_rng(1)
+    events = [(int(a), int(b), int(t)) for a, b, t in zip(rng.integers(0, 3, 200), rng.integers(0, lm.SKIPS, 200), rng.integers(0, size + lm.SPELLINGS, 200))]
+    n, words = np.zeros((3, lm.SKIPS, lm.GROUPS)), np.zeros((3, size + lm.SPELLINGS))
+    seen = {k: np.zeros(x.shape) for k, x in (("before", m.before[:3]), ("skip", m.skip), ("pair", m.pair[:3]))}
+    expected, likely = {k: np.zeros(x.shape) for k, x in seen.items()}, np.zeros(words.shape)
+    bias = lm._word_bias(counts)
+    for a, b, t in events:
+        g, slot = counts.group[t], lm._SLOT[b]
+        n[a, b, g] += 1
+        words[a, t] += 1
+        z = np.exp(m.bias + m.before[a] + m.skip[b] + m.pair[a, slot])
+        for k, at in (("before", a), ("skip", b), ("pair", (a, slot))):
+            seen[k][at + (g,) if isinstance(at, tuple) else (at, g)] += 1
+            expected[k][at] += z / z.sum()
+        mine = counts.group == g
+        likely[a, mine] += np.exp(bias[mine]) / np.exp(bias[mine]).sum()
+    before, pair, some, rest = lm.class_step(n, m.bias, m.before[:3], m.skip, m.pair[:3])
+    step = lambda w, s, e: w + lm.STEP * (s - e - lm.PRIOR * w) / (np.maximum(s, e) + lm.PRIOR)
+    assert np.allclose(before, step(m.before[:3], seen["before"], expected["before"]))
+    assert np.allclose(pair, step(m.pair[:3], seen["pair"], expected["pair"]))
+    assert np.allclose(some, seen["skip"]) and np.allclose(rest, expected["skip"])
+    assert np.allclose(lm.fit_words(words, counts, 1), lm.word_logs(bias, step(0, words, likely), counts.group))
+
+
+def test_lm_gains_over_single_words(spark):
+    """Held-out texts of two made languages, whose words share no spelling."""
+    rng = np.random.default_rng(5)
+    words = [[x + "".join(rng.choice(list(tail), 4)) for x in head for _ in range(4)] for head, tail in (("abcde", "fghij"), ("klmno", "pqrst"))]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words[k % 2], 60))) for k in range(400)], "doc_id long, text string")
+    counts, others = lm.count_words(docs.where("doc_id < 300").select("text"), most=100)
+    got = lm.score(docs.where("doc_id >= 300"), lm.train(docs.where("doc_id < 300"), counts), counts, others).toPandas()
+    assert ((got.score - got.base_score) / got.n_tokens).mean() > 0.2  # two equal languages: 0.3 at most
 
 
 def test_sharding_keeps_groups(spark):
@@ -253,7 +315,7 @@ def test_sharding_sums_over_hubs(spark):
     state = spark.createDataFrame([(0, 7, 3), (1, 7, 0), (2, 8, 1), (3, 9, 1), (4, 7, 0)], "rid long, lead long, shard int")
     # Row 0 meets shard 0 in one hub and shard 1 in two.
     links = spark.createDataFrame([(0, 7, 3), (1, 7, 3), (4, 7, 3), (0, 8, 2), (2, 8, 2), (0, 9, 2), (3, 9, 2)], "rid long, hub long, members long")
-    assert {r.rid: r.to for r in sharding._wanted(state, links).collect()}[0] == 1
+    assert {r.rid: r.to for r in sharding._wanted(*sharding._votes(state, links)).collect()}[0] == 1
 
 
 def test_decontamination_in_blocks(spark):
