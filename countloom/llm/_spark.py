@@ -87,6 +87,29 @@ def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _bits(values: DataFrame, column: str, bits: int) -> DataFrame:
+    """(w, v): 64 bits in each v; at most 2^(bits - 6) rows."""
+    at = F.pmod(F.col(column), F.lit(1 << bits))
+    return values.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("v"))
+
+
+def _wide(values: DataFrame, most: int) -> int:
+    return min(most, max(16, (8 * values.count()).bit_length()))
+
+
+def split_by_sieve(df: DataFrame, key: str, values: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose long ``key`` may be among ``values``, rows whose key is not), without Python workers or a shuffle.
+
+    The sieve is a broadcast table of at most 2^18 rows; beyond some million values more and more rows are in the first part.
+    """
+    bits = _wide(values, 24)
+    at = F.pmod(F.col(key), F.lit(1 << bits))
+    asked = df.withColumn("__w", F.shiftright(at, 6)).join(F.broadcast(_bits(values, column, bits).withColumnsRenamed({"w": "__w", "v": "__v"})), "__w", "left")
+    held = F.coalesce(F.call_function("shiftright", F.col("__v"), (at % 64).cast("int")).bitwiseAND(1) != 0, F.lit(False))
+    asked = asked.withColumn("__held", held)
+    return tuple(asked.where(c).drop("__w", "__v", "__held") for c in ("__held", "not __held"))
+
+
 class Sieve:
     """A bit for each of some 64-bit values: says at once that a value is not among them, or that it may be.
 
@@ -95,9 +118,8 @@ class Sieve:
     """
 
     def __init__(self, values: DataFrame, column: str, most: int = 27):
-        self.bits = min(most, max(16, (8 * values.count()).bit_length()))
-        at = F.pmod(F.col(column), F.lit(1 << self.bits))
-        words = values.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("v")).toArrow()
+        self.bits = _wide(values, most)
+        words = _bits(values, column, self.bits).toArrow()
         self.words = np.zeros(1 << (self.bits - 6), np.int64)
         self.words[words["w"].to_numpy()] = words["v"].to_numpy()
 

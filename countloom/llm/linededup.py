@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm._spark import Sieve, cut, forget, importable, table
+from countloom.llm._spark import Sieve, cut, forget, importable, split_by_sieve, table
 from countloom.llm._words import NON_SPACE, Words, chunks, mix64, span_hash
 
 MIN_WORDS = 50
@@ -164,15 +164,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     later = found.join(first, "run").where(place > F.col("first"))
     gone = cut(later.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_set(F.struct("low", "high")).alias("__gone")).withColumn("__key", F.xxhash64("__id", "__mark")))
     forget(found)
-    loses = spark.sparkContext.broadcast(Sieve(gone, "__key"))
-
-    @F.arrow_udf("boolean")
-    def touched(keys: pa.Array) -> pa.Array:
-        return pa.array(loses.value.may_hold(keys.to_numpy(zero_copy_only=False)))
-
     # The other columns travel as one, whose name cannot clash.
-    keyed = docs.select(F.struct(*docs.columns).alias("__row"), *(c.alias(k) for k, c in key.items())).withColumn("__touched", touched(F.xxhash64("__id", "__mark")))
-    hit, whole = keyed.where("__touched"), keyed.where("not __touched")
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), *(c.alias(k) for k, c in key.items())).withColumn("__key", F.xxhash64("__id", "__mark"))
+    hit, whole = split_by_sieve(keyed, "__key", gone, "__key")
     same = hit["__id"].eqNullSafe(gone["__id"]) & (hit["__mark"] == gone["__mark"])
     rows = hit.join(gone, same, "left").select("__row", "__gone").unionAll(whole.select("__row", F.lit(None).cast(gone.schema["__gone"].dataType).alias("__gone")))
     rows = rows.withColumn("__clean", F.arrow_udf(_clean, _CLEAN)(F.col(f"__row.{text}"), F.col("__gone.low"), F.col("__gone.high")))

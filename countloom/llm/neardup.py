@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm._spark import Scratch, Sieve, importable, small, table
+from countloom.llm._spark import Scratch, Sieve, importable, small, split_by_sieve, table
 from countloom.llm._words import NON_SPACE, chunks
 from countloom.llm.graph import TASK_EDGES, components
 from countloom.llm.superminhash import bands, set_keys, shingle_sets, signatures
@@ -226,14 +226,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     members = scratch.cut(members.select("group", "number", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number").alias("place")))
     first = scratch.cut(members.groupBy("group").agg(F.min("place").alias("first")))
     gone = scratch.cut(members.join(small(first), "group").where("number != first.number").select("number"))
-    sieve = spark.sparkContext.broadcast(Sieve(gone, "number"))
-
-    @F.arrow_udf("boolean")
-    def doubtful(numbers: pa.Array) -> pa.Array:
-        return pa.array(sieve.value.may_hold(numbers.to_numpy()))
-
-    asked = rows.withColumn("doubtful", doubtful("number"))
-    kept = asked.where("not doubtful").select("row").unionAll(asked.where("doubtful").join(gone, "number", "left_anti").select("row"))
+    doubtful, sure = split_by_sieve(rows, "number", gone, "number")
+    kept = sure.select("row").unionAll(doubtful.join(gone, "number", "left_anti").select("row"))
     return kept.select("row.*")
 
 
