@@ -1,27 +1,34 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A pattern rule is a regular expression over the URL (A-Z lower-cased, ASCII
-classes).  Every whole literal token it must contain is found by walking the
-parsed pattern; the rule is filed under the one that is rarest in the URL
-column.  A URL's tokens fetch the rules filed under them, and only those
-expressions run; rules without a literal token run on every URL.  Host/path
-rules are looked up by the host's suffixes and come before the patterns.
+classes).  A pattern's alternatives, options and small character sets are written
+out as branches; the whole literal tokens that any match of a branch must contain
+are read off it, and the rule is filed, for each branch, under the one that is
+rarest in the URL column.  A URL's tokens fetch the rules filed under them, and
+only those expressions run; rules with a branch without a literal token (or with
+syntax that is not read) run on every URL.  Host/path rules are looked up by the
+host's suffixes and come before the patterns.
+
+Rules may be lists or tables.  They are taken in blocks of at most
+``block_bytes``, each of which is broadcast; a URL's result is the best over all blocks,
+in one pass over the table for all verdicts.
 
 Cases: a null URL, or one without ``://``, has an empty host and path, no rule
-and the verdict ``allow`` unless a pattern matches it.  Repeated rows are
-judged one by one; an empty table gives an empty result; other columns are
-ignored.
+and the verdict ``allow`` unless a pattern matches it.  Of host rules of equal length
+the last in the order of strings wins; of patterns, the first in the list.  Repeated
+rows are judged one by one; a very long URL is judged whole; an empty table gives an
+empty result; a column that clashes with the result is replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from typing import NamedTuple
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any, NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countloom.llm._spark import BROADCAST_BYTES, importable, table
@@ -64,43 +71,150 @@ PATTERNS = (
 )
 
 
+#: Branches that a pattern is written out into at most; one with more runs on every URL.
+BRANCHES = 64
+_EDGE, _ANY = "edge", "any"  #: beside literal characters: a place where a token ends, and unknown text
+
+
+class _Reader:
+    """Writes a pattern out as branches of literal characters, edges and unknown text."""
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+
+    def peek(self, n: int = 1) -> str:
+        return self.text[self.at : self.at + n]
+
+    def take(self) -> str:
+        if self.at >= len(self.text):
+            raise ValueError("the pattern ends early")
+        self.at += 1
+        return self.text[self.at - 1]
+
+    def choice(self) -> list[list[str]]:
+        out = self.sequence()
+        while self.peek() == "|":
+            self.at += 1
+            out = out + self.sequence()
+        return out
+
+    def sequence(self) -> list[list[str]]:
+        out: list[list[str]] = [[]]
+        while self.peek() not in ("", "|", ")"):
+            part = self.repeated(self.atom())
+            out = [a + b for a in out for b in part]
+            if len(out) > BRANCHES:
+                raise ValueError("too many branches")
+        return out
+
+    def repeated(self, part: list[list[str]]) -> list[list[str]]:
+        sign = self.peek()
+        if sign == "?":
+            part = [*part, []]
+        elif sign == "*":
+            part = [[_ANY]]
+        elif sign == "+":
+            part = [[*x, _ANY] for x in part]
+        elif sign == "{" and (m := re.match(r"\{\d*,?\d*\}", self.text[self.at :])):
+            part, self.at = [[_ANY]], self.at + m.end() - 1
+        else:
+            return part
+        self.at += 1
+        if self.peek() in ("?", "+"):  # lazy or possessive: the same texts
+            self.at += 1
+        return part
+
+    def literal(self, c: str) -> str:
+        return c if _TOKEN.fullmatch(c) else _ANY if c.isalnum() else _EDGE
+
+    def atom(self) -> list[list[str]]:
+        c = self.take()
+        if c == "(":
+            if self.peek() == "?":
+                if self.peek(2) != "?:":
+                    raise ValueError("a group that is not read")
+                self.at += 2
+            out = self.choice()
+            if self.take() != ")":
+                raise ValueError("an open group")
+            return out
+        if c == "[":
+            return self.members()
+        if c == "\\":
+            return [[self.escaped()]]
+        return [[_EDGE if c in "^$" else _ANY if c == "." else self.literal(c)]]
+
+    def escaped(self) -> str:
+        c = self.take()
+        if c in "bsWAZ":
+            return _EDGE
+        if c in "dwDSB":
+            return _ANY
+        if c.isalnum():
+            raise ValueError("an escape that is not read")
+        return self.literal(c)
+
+    def members(self) -> list[list[str]]:
+        inside = self.peek() != "^"
+        self.at += not inside
+        found: list[str] = []
+        while True:
+            c = self.take()
+            if c == "]" and found:
+                break
+            found.append(self.escaped() if c == "\\" else self.literal(c))
+            if self.peek() == "-" and self.peek(2) != "-]":
+                self.at += 1
+                end = self.take()
+                if end == "\\":
+                    self.take()
+                found.append(_ANY)
+        if not inside or _ANY in found:
+            return [[_ANY]]
+        return [[x] for x in sorted(set(found))]
+
+
+def branch_tokens(pattern: str) -> list[list[str]]:
+    """For each branch, the whole ``[a-z0-9_]+`` tokens that any match must contain; one empty branch if the pattern is not read."""
+    reader = _Reader(pattern)
+    try:
+        branches = reader.choice()
+        if reader.at < len(pattern):
+            return [[]]
+    except ValueError:
+        return [[]]
+    out = []
+    for items in branches:
+        found, i = [], 0
+        while i < len(items):
+            j = i
+            while j < len(items) and len(items[j]) == 1:
+                j += 1
+            if j > i and i and items[i - 1] == _EDGE and j < len(items) and items[j] == _EDGE:
+                found.append("".join(items[i:j]))
+            i = max(j, i + 1)
+        out.append(found)
+    return out
+
+
 def literal_tokens(pattern: str) -> list[str]:
-    """Whole ``[a-z0-9_]+`` tokens that any match of ``pattern`` must contain."""
-    nodes = [(str(op), arg) for op, arg in re._parser.parse(pattern, re.ASCII)]
-    word = lambda c: _TOKEN.fullmatch(chr(c)) is not None
-
-    def edge(node: tuple | None) -> bool:
-        if node is None:
-            return False
-        op, arg = node
-        if op == "AT":
-            return str(arg) in ("AT_BOUNDARY", "AT_BEGINNING", "AT_BEGINNING_STRING", "AT_END_STRING")
-        if op == "LITERAL":
-            return not word(arg)
-        return op == "IN" and all(str(o) == "LITERAL" and not word(a) for o, a in arg)
-
-    found, i = [], 0
-    while i < len(nodes):
-        j = i
-        while j < len(nodes) and nodes[j][0] == "LITERAL" and word(nodes[j][1]):
-            j += 1
-        if j > i and edge(nodes[i - 1] if i else None) and edge(nodes[j] if j < len(nodes) else None):
-            found.append("".join(chr(a) for _, a in nodes[i:j]))
-        i = max(j, i + 1)
-    return found
+    """Whole tokens that any match of ``pattern`` must contain, whichever branch matches."""
+    first, *rest = branch_tokens(pattern)
+    return [t for t in first if all(t in other for other in rest)]
 
 
 class UrlIndex:
-    """Rules by token and by host; small enough to be broadcast (checked by the caller)."""
+    """A block of rules by token and by host; small enough to be broadcast (see the caller)."""
 
     def __init__(self, patterns: Iterable[str], host_rules: Iterable[HostRule], counts: dict[str, int]):
         self.patterns = list(patterns)
         self.by_token: dict[str, list[int]] = defaultdict(list)
         self.untokened: list[int] = []
         for k, pattern in enumerate(self.patterns):
-            tokens = literal_tokens(pattern)
-            if tokens:
-                self.by_token[min(tokens, key=lambda t: (counts.get(t, 0), t))].append(k)
+            branches = branch_tokens(pattern)
+            if all(branches):
+                for token in sorted({min(tokens, key=lambda t: (counts.get(t, 0), t)) for tokens in branches}):
+                    self.by_token[token].append(k)
             else:
                 self.untokened.append(k)
         self.by_host: dict[str, list[HostRule]] = defaultdict(list)
@@ -111,9 +225,6 @@ class UrlIndex:
     def __getstate__(self):
         return self.__dict__ | {"_compiled": None}
 
-    def size(self) -> int:
-        return sum(len(p) + 200 for p in self.patterns) + sum(len(r.text) + 200 for rs in self.by_host.values() for r in rs)
-
     def host_rule(self, host: str, path: str) -> HostRule | None:
         best, rest = None, host
         while rest:
@@ -166,25 +277,59 @@ def token_counts(pages: DataFrame, tokens: set[str], url: str = "url") -> dict[s
     return {r.token: r.n for r in rows.collect()}
 
 
-def filter_urls(pages: DataFrame, patterns: Iterable[str] = PATTERNS, host_rules: Iterable[HostRule] = HOST_RULES, url: str = "url", out: str = "url_verdict") -> DataFrame:
-    """``pages`` with a struct column ``out``: host, path, rule, verdict, pattern."""
+def _blocks(rules: Iterable, size: Callable[[Any], int], most: int) -> Iterator[list]:
+    block, held = [], 0
+    for rule in rules:
+        if block and held + size(rule) > most:
+            yield block
+            block, held = [], 0
+        block.append(rule)
+        held += size(rule)
+    if block:
+        yield block
+
+
+def filter_urls(
+    pages: DataFrame, patterns: Iterable[str] | DataFrame = PATTERNS, host_rules: Iterable[HostRule] | DataFrame = HOST_RULES, url: str = "url", out: str = "url_verdict", block_bytes: int = BROADCAST_BYTES // 4
+) -> DataFrame:
+    """``pages`` with a struct column ``out``: host, path, rule, verdict, pattern.
+
+    ``patterns`` may be a table (place, pattern), ``host_rules`` one of (verdict, text).
+    """
     spark = pages.sparkSession
     importable(spark)
-    patterns = list(patterns)
-    index = UrlIndex(patterns, host_rules, token_counts(pages, {t for p in patterns for t in literal_tokens(p)}, url))
-    if index.size() > BROADCAST_BYTES:
-        raise ValueError("the rules exceed the broadcast bound; apply them in blocks and take the first match")
-    shared = spark.sparkContext.broadcast(index)
+    if isinstance(patterns, DataFrame):
+        patterns = (r.pattern for r in patterns.orderBy("place").toLocalIterator())
+    if isinstance(host_rules, DataFrame):
+        host_rules = (HostRule(r.verdict, r.text) for r in host_rules.toLocalIterator())
+    # A rule costs a few hundred bytes beside its text.
+    blocks = [(b, []) for b in _blocks(patterns, lambda p: len(p) + 200, block_bytes)] + [([], b) for b in _blocks(host_rules, lambda r: len(r.text) + 200, block_bytes)]
+    if len(blocks) == 2 and blocks[0][0] and blocks[1][1]:
+        blocks = [(blocks[0][0], blocks[1][1])]
     kind = "struct<host:string,path:string,rule:string,verdict:string,pattern:string>"
 
-    @F.arrow_udf(kind)
-    def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        rules = shared.value
-        for part in parts:
-            columns = list(zip(*map(rules.judge, part.to_pylist()), strict=True)) or [()] * 5
-            yield pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=["host", "path", "rule", "verdict", "pattern"])
-
-    return pages.withColumn(out, judge(F.col(url)))
+    def judged(shared) -> Column:
+        @F.arrow_udf(kind)
+        def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            rules = shared.value
+            for part in parts:
+                columns = list(zip(*map(rules.judge, part.to_pylist()), strict=True)) or [()] * 5
+                yield pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=["host", "path", "rule", "verdict", "pattern"])
+
+        return judge(F.col(url))
+
+    names, asked = [], pages
+    for number, (some, hosts) in enumerate(blocks or [([], [])]):
+        index = UrlIndex(some, hosts, token_counts(pages, {t for p in some for tokens in branch_tokens(p) for t in tokens}, url))
+        names.append(f"__{out}_{number}")
+        asked = asked.withColumn(names[-1], judged(spark.sparkContext.broadcast(index)))
+    if len(names) == 1:
+        return asked.withColumn(out, F.col(names[0])).drop(*names)
+    first = F.col(names[0])
+    best = F.greatest(*(F.when(F.col(f"{n}.rule").isNotNull(), F.struct(F.length(F.col(f"{n}.rule")).alias("size"), F.col(f"{n}.rule").alias("rule"), F.col(f"{n}.verdict").alias("verdict"))) for n in names))
+    pattern = F.coalesce(*(F.col(f"{n}.pattern") for n in names))
+    verdict = F.coalesce(best["verdict"], F.when(pattern.isNotNull(), "block").otherwise("allow"))
+    return asked.withColumn(out, F.struct(first["host"].alias("host"), first["path"].alias("path"), best["rule"].alias("rule"), verdict.alias("verdict"), pattern.alias("pattern"))).drop(*names)
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
