@@ -7,15 +7,21 @@ corpus.  Those words are joined with the positions of the documents' words;
 each match fixes where the window would begin and end (positional and length
 bounds), and the words there are compared one by one with the window's.
 
-The benchmark is the query side.  It is handled in blocks of at most
-``block_bytes`` of text; a block's index is broadcast, and its size is thereby
-bounded, whatever the benchmark's size.  Corpus counts are taken over all
-documents.
+The benchmark is the query side.  Up to ``block_bytes`` of text its index is
+broadcast and ``documents`` is not shuffled.  Beyond that the same steps are joins:
+the windows' words pass through a sieve of bounded size over ``documents`` to be
+counted, each window is filed under its rarest word, the documents' occurrences of
+those words (through another sieve), with the words around them, are joined with
+the windows filed there, and compared.  The number of passes over ``documents`` does
+not depend on the benchmark's size, and only documents with hits are joined with them.
+Corpus counts are taken over all documents.
 
 Cases: a null or wordless text has no words, no hits and is not contaminated.
 A null item text has no windows; a null item_id marks words but is not counted
 as an item.  Repeated documents are judged one by one, repeated items count
-once.  Empty tables give empty results, or no hits.
+once.  A very long text is scanned whole.  Ties between equally rare words go to the
+first.  Empty tables give empty results, or no hits; a column that clashes with the
+result is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm._spark import cut, importable, table
+from countloom.llm._spark import Sieve, cut, importable, split_by_sieve, table
 from countloom.llm._words import ALNUM, chunks, runs
 
 WINDOW = 13
@@ -96,9 +102,20 @@ def _spread(ptr: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ptr[k], n)
 
 
+#: Pairs of an occurrence and a window that are compared at once.
+PAIRS = 1 << 20
+
+
 def window_hits(index: WindowIndex, h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word, window) of every occurrence of a window in texts with word hashes ``h``."""
-    at, k = locate(h, index.tokens, index.sieve)
+    every, tokens = locate(h, index.tokens, index.sieve)
+    total = np.cumsum(index.entries_ptr[tokens + 1] - index.entries_ptr[tokens])
+    cuts = np.searchsorted(total, np.arange(PAIRS, int(total[-1]) + 1 if len(total) else 0, PAIRS))
+    out = [_window_hits(index, h, ptr, at, k) for at, k in zip(np.split(every, cuts), np.split(tokens, cuts), strict=True)]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _window_hits(index: WindowIndex, h: np.ndarray, ptr: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     which, entry = _spread(index.entries_ptr, k)
     window, begin = index.entry_window[entry], at[which] - index.entry_offset[entry]
     text = np.searchsorted(ptr, at[which], side="right") - 1
@@ -174,36 +191,114 @@ def _mark(shared, text: Column) -> Column:
     return mark(text)
 
 
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """(words, items): the distinct windows, as word hashes, with the ids of their items."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for k, h in enumerate(item_hashes(batch.column(1).to_pylist())):
+                h = h.view(np.int64)
+                found = [h[at : at + window] for at in range(max(1, len(h) - window + 1) if len(h) else 0)]
+                yield pa.RecordBatch.from_pydict({"words": pa.array(found, pa.list_(pa.int64())), "item": pa.array([names[k]] * len(found), pa.string())})
+
+    return items.mapInArrow(scan, "words array<long>, item string").groupBy("words").agg(F.collect_set("item").alias("items"))
+
+
+def _count_some(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
+    """(word, n): how often each of ``words`` (word) occurs in the documents."""
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve(words, "word"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, w in chunks(batch.column(0), ALNUM):
+                h = w.hashes()
+                word, n = np.unique(h[sieve.value.may_hold(h)], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"word": pa.array(word.view(np.int64)), "n": pa.array(n)})
+
+    counted = docs.select(F.col(text)).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.join(words, "word", "left_semi")
+
+
+def _occurrences(docs: DataFrame, text: str, tokens: DataFrame, window: int) -> DataFrame:
+    """(row, token, at, n_words, first, around): where a token may stand, with the words up to a window to either side."""
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve(tokens, "token"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            for i, _, w in chunks(batch.column(1), ALNUM):
+                h = w.hashes()
+                every = np.flatnonzero(sieve.value.may_hold(h))
+                for low in range(0, len(every), 1 << 15):
+                    at = every[low : low + (1 << 15)]
+                    of = np.searchsorted(w.ptr, at, side="right") - 1
+                    first, past = np.maximum(at - window + 1, w.ptr[of]), np.minimum(at + window, w.ptr[of + 1])
+                    size = past - first
+                    ptr = np.concatenate([[0], np.cumsum(size)])
+                    inner = np.arange(ptr[-1]) - np.repeat(ptr[:-1] - first, size)
+                    yield pa.RecordBatch.from_pydict({
+                        "row": pa.array(rows[i + of]), "token": pa.array(h[at].view(np.int64)), "at": pa.array(at - w.ptr[of]), "n_words": pa.array(np.diff(w.ptr)[of]), "first": pa.array(first - w.ptr[of]),
+                        "around": pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), pa.array(h[inner].view(np.int64))),
+                    })
+
+    return docs.select("__row", F.col(text)).mapInArrow(scan, "row long, token long, at long, n_words long, first long, around array<long>")
+
+
+def _word_count(text: Column) -> Column:
+    @F.arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        out = [np.diff(w.ptr) for _, _, w in chunks(texts, ALNUM)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())
+
+    return count(text)
+
+
+def _judged(n_words: Column, spans: Column, items: Column) -> Column:
+    """The verdict from (begins, ends) of hits, which may overlap."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    merged = F.aggregate(
+        F.array_sort(spans), start, lambda a, s: F.struct((a["n"] + F.greatest(s["ends"] - F.greatest(s["begins"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], s["ends"]).alias("upto"))
+    )
+    return F.struct(n_words.alias("n_words"), merged["n"].alias("n_hit"), F.sort_array(items).alias("items"), ((merged["n"] > 0) & (20 * merged["n"] >= n_words)).alias("contaminated"))
+
+
+def _by_joins(docs: DataFrame, items: DataFrame, text: str, window: int, out: str) -> DataFrame:
+    docs = cut(docs.select(F.struct(*docs.columns).alias("__doc"), F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text")))
+    windows = cut(_windows(items, window).withColumn("wid", F.monotonically_increasing_id()))
+    words = windows.select(F.posexplode("words").alias("offset", "word"), "wid")
+    counts = _count_some(docs, "__text", cut(words.select("word").distinct()))
+    # A word that no document holds is the rarest of all; its window then has no occurrence.
+    rarest = words.join(counts, "word", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "word")).alias("r")).where("r.n > 0")
+    filed = cut(rarest.join(windows, "wid").select(F.col("r.word").alias("token"), "r.offset", "words", "items"))
+    found = _occurrences(docs, "__text", filed.select("token").distinct(), window).join(filed, "token")
+    begin, length = F.col("at") - F.col("offset"), F.size("words")
+    inside = (begin >= 0) & (begin + length <= F.col("n_words"))
+    same = F.slice("around", F.greatest(begin - F.col("first") + 1, F.lit(1)).cast("int"), length) == F.col("words")
+    hits = found.where(inside & same).groupBy("row").agg(F.collect_set(F.struct(begin.alias("begins"), (begin + length).alias("ends"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    hits = cut(hits)
+    some, clean = split_by_sieve(docs, "__row", hits, "row")
+    none = {"spans": F.lit(None).cast(hits.schema["spans"].dataType), "items": F.lit(None).cast("array<string>")}
+    every = some.join(hits, F.col("__row") == F.col("row"), "left").drop("row").unionByName(clean.withColumns(none))
+    empty = {n: F.coalesce(n, F.array().cast(hits.schema[n].dataType)) for n in none}
+    return every.select("__doc", _judged(_word_count(F.col("__text")), empty["spans"], empty["items"]).alias("__verdict")).select(*(F.col(f"__doc.`{c}`") for c in docs.schema["__doc"].dataType.names if c != out), F.col("__verdict").alias(out))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, out: str = "contamination") -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, n_hit, items (sorted as strings), contaminated."""
     spark = docs.sparkSession
     importable(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-int(size) // block_bytes))
-    hits: list[str] = []
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = WindowIndex([(r.item_id, r.text) for r in part.collect()], window)
-        index.order(_counts(docs, text, index))
-        hits.append(f"__{out}_{block}")
-        docs = docs.withColumn(hits[-1], _mark(spark.sparkContext.broadcast(index), F.col(text)))
-        if blocks > 1:
-            docs = cut(docs)
-    n_words = F.col(f"{hits[0]}.n_words")
-    if blocks == 1:
-        x = F.col(hits[0])
-        n_hit, found = _total(x["ends"]) - _total(x["begins"]), x["items"]
-    else:
-        spans = F.array_sort(F.concat(*(F.arrays_zip(F.col(f"{h}.begins").alias("begins"), F.col(f"{h}.ends").alias("ends")) for h in hits)))
-        merged = F.aggregate(
-            spans,
-            F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),
-            lambda a, s: F.struct((a["n"] + F.greatest(s["ends"] - F.greatest(s["begins"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], s["ends"]).alias("upto")),
-        )
-        n_hit, found = merged["n"], F.array_distinct(F.concat(*(F.col(f"{h}.items") for h in hits)))
-    verdict = F.struct(n_words.alias("n_words"), n_hit.alias("n_hit"), F.sort_array(found).alias("items"), ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"))
-    return docs.withColumn(out, verdict).drop(*hits)
+    if size > block_bytes:
+        return _by_joins(docs, items, text, window, out)
+    index = WindowIndex([(r.item_id, r.text) for r in items.collect()], window)
+    index.order(_counts(docs, text, index))
+    marked = docs.withColumn("__hits", _mark(spark.sparkContext.broadcast(index), F.col(text)))
+    x = F.col("__hits")
+    n_hit = _total(x["ends"]) - _total(x["begins"])
+    verdict = F.struct(x["n_words"].alias("n_words"), n_hit.alias("n_hit"), F.sort_array(x["items"]).alias("items"), ((n_hit > 0) & (20 * n_hit >= x["n_words"])).alias("contaminated"))
+    return marked.withColumn(out, verdict).drop("__hits")
 
 
 def _total(values: Column) -> Column:
