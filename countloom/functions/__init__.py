@@ -14,6 +14,10 @@ OPERATORS = ("==", ">=", "between")
 def coerce_literal(dtype: T.DataType, value: Any) -> Any | None:
     """The literal that ``==`` compares with a column of ``dtype``; None if nothing can equal it."""
     if isinstance(dtype, T.NumericType):
+        try:
+            return int(value if isinstance(value, int) else str(value))  # whole numbers beyond 2^53 stay what they are
+        except ValueError:
+            pass
         try:
             number = float(value)
         except (TypeError, ValueError):

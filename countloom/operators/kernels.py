@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from countloom.functions import clip, sigmoid, uniform
 from countloom.operators.scoring import fitness
-from countloom.operators.workload import Query, matches
+from countloom.operators.workload import Query, evaluate, matches
 from countloom.schema import CATEGORICAL, Schema
 
 MAX_MASK_BITS = 20
@@ -65,10 +65,12 @@ def copy_direction_scores(current: DataFrame, donors: DataFrame, schema: Schema,
     return flat.select("hid", key, "attr").join(tried, "hid").join(base, key).select(key, "attr", (F.col("after") - F.col("before")).alias("score"))
 
 
-def rms(column: Column) -> Column:
-    """Root of the mean square without overflow; 0 where all is 0 or nothing is there."""
-    top = F.max(F.abs(column))
-    return F.coalesce(F.when(top > 0, F.sqrt(F.avg(column * column))), F.lit(0.0))
+def rms(df: DataFrame, column: str, name: str = "scale") -> DataFrame:
+    """One row: the root of the mean square, scaled by the largest value so that squares neither overflow nor vanish; 0 where all is 0 or nothing is there."""
+    x = F.col(column).cast("double")
+    top = df.agg(F.max(F.abs(x)).alias("__top"))
+    scaled = df.crossJoin(F.broadcast(top)).agg(F.max("__top").alias("__top"), F.avg(F.when(F.col("__top") > 0, (x / F.col("__top")) * (x / F.col("__top")))).alias("__mean"))
+    return scaled.select(F.coalesce(F.col("__top") * F.sqrt("__mean"), F.lit(0.0)).alias(name))
 
 
 def tilted(eta: float, score: Column, strength: float, logit_clip: float = 30.0) -> Column:
@@ -175,26 +177,54 @@ def conditional_copy(difference: Column, eta: float, strength: float, logit_clip
 
 
 def heatbath(df: DataFrame, group: str, energy: str, beta: float, n_records: int | None = None) -> DataFrame:
-    """``df`` with ``p``: exp(-beta * (E - min E)), over N if given, normalised within ``group``."""
-    if beta < 0:
-        raise ValueError("beta must not be negative")
+    """``df`` with ``p``: exp(-beta * (E - min E)), over N if given, normalised within ``group``.
+
+    Every candidate must keep a positive probability; one that underflows is an error when rows are computed.
+    """
+    if not 0 <= beta < float("inf"):
+        raise ValueError("beta must be finite and not negative")
     w = Window.partitionBy(group)
     z = -beta * (F.col(energy) - F.min(energy).over(w)) / F.lit(float(n_records or 1))
     x = df.withColumn("__e", F.exp(z))
-    return x.withColumn("p", F.col("__e") / F.sum("__e").over(w)).drop("__e")
+    p = F.col("__e") / F.sum("__e").over(w)
+    sound = (F.col("__e") > 0) & (p > 0) & ~F.isnan(p)
+    return x.withColumn("p", F.when(sound, p).otherwise(F.raise_error(F.lit("a conditional probability underflows")).cast("double"))).drop("__e")
+
+
+def conditional_summary(df: DataFrame, group: str, energy: str, current: Column) -> DataFrame:
+    """(group, entropy, expected_energy, uphill_mass) of conditionals with ``p``; uphill is above the energy of the row where ``current`` holds."""
+    p, e = F.col("p"), F.col(energy)
+    x = df.withColumn("__now", F.max(F.when(current, e)).over(Window.partitionBy(group)))
+    return x.groupBy(group).agg((-F.sum(p * F.log(p))).alias("entropy"), F.sum(p * e).alias("expected_energy"), F.sum(F.when(e > F.col("__now"), p).otherwise(0.0)).alias("uphill_mass"))
 
 
-def cell_conditional(df: DataFrame, key: str, attr: str, schema: Schema, queries: Sequence[Query], answers: DataFrame) -> DataFrame:
-    """(key, value, delta_loss): the squared loss's change if one cell takes each legal value. ``answers``: qid, target, q."""
+def audit_state(df: DataFrame, schema: Schema, queries: Sequence[Query], answers: DataFrame, loss: float) -> DataFrame:
+    """One row: illegal cells, carried answers (qid, target, q) that differ from the table's, and the carried loss's error."""
+    illegal = df.agg(F.coalesce(F.sum(sum(((~schema[n].valid(F.col(n), df.schema[n].dataType)).cast("long") for n in schema.names), F.lit(0))), F.lit(0)).alias("illegal_cells"))
+    both = evaluate(df, queries).join(answers, "qid", "full")
+    gap = F.col("target") - F.col("answer")
+    said = both.agg(F.count_if(~F.col("answer").eqNullSafe(F.col("q"))).alias("wrong_answers"), F.abs(0.5 * F.sum(gap * gap) - F.lit(float(loss))).alias("loss_error"))
+    return illegal.crossJoin(said)
+
+
+def cell_conditional(df: DataFrame, key: str, attr: str, schema: Schema, queries: Sequence[Query], answers: DataFrame, energy: str = "squared", n_records: int | None = None) -> DataFrame:
+    """(key, value, delta_loss): the energy's change if one cell takes each legal value. ``answers``: qid, target, q.
+
+    ``squared``: half the sum of squared gaps. ``l1``: the mean absolute gap over ``n_records``.
+    """
+    if energy not in ("squared", "l1") or (energy == "l1" and not (queries and n_records)):
+        raise ValueError("energy is squared, or l1 with queries and n_records")
     domain = df.sparkSession.createDataFrame([(v,) for v in schema[attr].domain], f"value {schema[attr].spark_type.simpleString()}")
     tried = df.crossJoin(F.broadcast(domain)).withColumn(attr, F.col("value")).withColumn("__h", F.concat_ws("|", F.col(key).cast("string"), F.col("value").cast("string")))
     now = matches(df, queries, [key]).select(key, "qid").withColumn("was", F.lit(1))
     then = matches(tried, queries, ["__h", key, "value"]).withColumn("now", F.lit(1))
     touched = tried.select("__h", key, "value").join(now, key)
     both = touched.join(then.select("__h", "qid", "now"), ["__h", "qid"], "full").withColumn("delta", F.coalesce("now", F.lit(0)) - F.coalesce("was", F.lit(0))).where("delta <> 0")
-    gain = both.join(F.broadcast(answers), "qid")
+    gain = both.join(answers, "qid")
     r = F.col("target") - F.col("q")
-    loss = gain.groupBy("__h").agg((0.5 * F.sum((r - F.col("delta")) * (r - F.col("delta")) - r * r)).alias("d"))
+    after = r - F.col("delta")
+    change = 0.5 * F.sum(after * after - r * r) if energy == "squared" else F.sum(F.abs(after) - F.abs(r)) / F.lit(float(len(queries) * (n_records or 1)))
+    loss = gain.groupBy("__h").agg(change.alias("d"))
     return tried.select("__h", key, "value").join(loss, "__h", "left").select(key, "value", F.coalesce("d", F.lit(0.0)).alias("delta_loss"))
 
 
@@ -271,5 +301,5 @@ def strength_for_kl(energies: Sequence[float], prior: Sequence[float], target: f
 
 def curvature_energy(deltas: DataFrame, residuals: DataFrame, gamma: float, n_records: int, key: str = "mask") -> DataFrame:
     """(key, energy): <e, D> - gamma / (2N) * |D|^2 of the query changes D. ``deltas``: key, qid, d; ``residuals``: qid, eps."""
-    x = deltas.join(F.broadcast(residuals), "qid")
+    x = deltas.join(residuals, "qid")
     return x.groupBy(key).agg((F.sum(F.col("eps") * F.col("d")) - gamma / (2.0 * n_records) * F.sum(F.col("d") * F.col("d"))).alias("energy"))

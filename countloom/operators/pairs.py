@@ -1,21 +1,27 @@
 """Distances, selection probabilities and donor draws between rows and candidates.
 
-Pairs are rows (rid, cand, ...); the candidates are a pool of a stated size, or
-the distinct states of a table, never a table of unknown size.
+Pairs are rows (rid, cand, ...) where they are wanted themselves.  To draw donors,
+``draw_donors`` makes no rows of pairs: blocks of states meet all candidate states in
+a matrix, while these fit a broadcast; beyond that pairs are made by a join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countloom.functions import clip, uniform
 from countloom.schema import NUMERIC, Schema
 
-#: Pairs beyond this number are refused: the caller takes a smaller pool.
-MAX_PAIRS = 50_000_000
+#: A pool of at most so many rows is broadcast.
+POOL_ROWS = 200_000
+#: Cells of the matrix that a block of states has with the pool.
+BLOCK_CELLS = 2_000_000
 MODES = ("squared", "linear", "none", "multiplicative", "geometric")
 
 
@@ -34,13 +40,10 @@ def distance(schema: Schema, left: str, right: str, weights: dict[str, float] |
 
 
 def pair_distances(rows: DataFrame, pool: DataFrame, schema: Schema, key: str, exclude_self: bool = False, weights: dict[str, float] | None = None) -> DataFrame:
-    """(rid, cand, d) for every row and candidate of the pool, whose size is checked."""
-    n, k = rows.count(), pool.count()
-    if n * k > MAX_PAIRS:
-        raise ValueError(f"{n} x {k} pairs; take a smaller pool")
+    """(rid, cand, d) for every row and candidate of the pool; the pool is broadcast if it is small."""
     a = rows.select(F.col(key).alias("rid"), *(F.col(x).alias(f"l_{x}") for x in schema.names))
     b = pool.select(F.col(key).alias("cand"), *(F.col(x).alias(f"r_{x}") for x in schema.names))
-    pairs = a.crossJoin(F.broadcast(b))
+    pairs = a.crossJoin(F.broadcast(b) if pool.limit(POOL_ROWS + 1).count() <= POOL_ROWS else b)
     if exclude_self:
         pairs = pairs.where("rid <> cand")
     return pairs.select("rid", "cand", distance(schema, "l_", "r_", weights).alias("d"))
@@ -119,6 +122,85 @@ def draw_by_state(probabilities: DataFrame, rows: DataFrame, seed: int, round_:
     return x.select("rid", F.element_at("c", F.least(below + 1, F.size("c")))["cand"].alias("cand"))
 
 
+def draw_donors(
+    rows: DataFrame, pool: DataFrame, schema: Schema, seed: int, round_: int, mode: str = "geometric", beta: float = 1.0, h: float = 1.0, power: float = 1.0, lam: float = 0.5, alpha: float = 1.0, delta: float = 0.01,
+    winsorize: tuple[float, float] = (0.05, 0.95), exclude_self: bool = False, scale_invariant: bool = False, min_spread: float = 0.05,
+) -> DataFrame:
+    """(rid, cand): :func:`selection` between states and :func:`draw_by_state`, without rows of pairs.
+
+    ``rows``: rid, __state and the schema's columns. ``pool``: __cand (a state), its columns, __fitness and __n (its rows).
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    if pool.limit(POOL_ROWS + 1).count() > POOL_ROWS:
+        near = pair_distances(rows.select("__state", *schema.names).distinct(), pool.withColumnRenamed("__cand", "__state"), schema, "__state")
+        p = selection(near, pool.select(F.col("__cand").alias("cand"), F.col("__fitness").alias("fitness"), F.col("__n").alias("n")), mode, beta, h, power, lam, alpha, delta, winsorize, exclude_self, scale_invariant, min_spread, "n")
+        return draw_by_state(p, rows.select("rid", F.col("__state").alias("state")), seed, round_)
+    held = pool.orderBy("__cand").toPandas()
+    q = pool.agg(F.percentile("__fitness", winsorize[0], F.col("__n")).alias("lo"), F.percentile("__fitness", winsorize[1], F.col("__n")).alias("hi")).first()
+    numeric = [(a.name, float(max(a.high - a.low, 1))) for a in schema.attributes if a.kind == NUMERIC]
+    other = [a.name for a in schema.attributes if a.kind != NUMERIC]
+    name = {n: {v: k for k, v in enumerate(held[n].unique())} for n in other}
+    code = lambda frame: np.stack([frame[n].map(lambda v, n=n: name[n].get(v, -1)).to_numpy(np.int32) for n in other], 1) if other else np.zeros((len(frame), 0), np.int32)
+    value = lambda frame: np.stack([frame[x].to_numpy(float) / width for x, width in numeric], 1) if numeric else np.zeros((len(frame), 0))
+    shared = rows.sparkSession.sparkContext.broadcast((held["__cand"].to_numpy(), value(held), code(held), held["__fitness"].to_numpy(float), held["__n"].to_numpy(float), name))
+    lo, hi = (float(q.lo), float(q.hi)) if q.lo is not None else (0.0, 0.0)
+    count = len(schema.attributes)
+
+    def draw_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cand, values, codes, fit, n, known = shared.value
+        share = np.ones(len(fit)) if hi - lo < 1e-8 else (np.clip(fit, lo, hi) - lo) / (hi - lo + 1e-8)
+        place = {c: k for k, c in enumerate(cand)}
+        for batch in batches:
+            at, states = pd.factorize(batch["__state"])
+            first = np.unique(at, return_index=True)[1]
+            one = batch.iloc[first]
+            mine = value(one)
+            kinds = np.stack([one[c].map(lambda v, c=c: known[c].get(v, -1)).to_numpy(np.int32) for c in other], 1) if other else np.zeros((len(one), 0), np.int32)
+            chosen, u = np.zeros(len(batch), np.int64), batch["__u"].to_numpy()
+            size = max(1, BLOCK_CELLS // max(1, len(cand)))
+            for low in range(0, len(one), size):
+                block = range(low, min(low + size, len(one)))
+                d = np.zeros((len(block), len(cand)))
+                for k in range(values.shape[1]):
+                    d += np.abs(mine[block, k, None] - values[None, :, k])
+                for k in range(codes.shape[1]):
+                    d += kinds[block, k, None] != codes[None, :, k]
+                d /= count
+                mass = np.broadcast_to(n, d.shape).copy()
+                if exclude_self:
+                    for i, b in enumerate(block):
+                        if states[b] in place:
+                            mass[i, place[states[b]]] -= 1
+                if mode == "multiplicative":
+                    w = mass * np.exp(beta * (fit - fit.max())) * (1 - d) ** power
+                else:
+                    if mode == "geometric":
+                        log = lam * np.log(delta + (1 - delta) * share) + (1 - lam) * np.log(delta + (1 - delta) * (1 - np.clip(d, 0, 1)))
+                        if scale_invariant:
+                            total = mass.sum(axis=1, keepdims=True)
+                            mean = (mass * log).sum(axis=1, keepdims=True) / total
+                            sd = np.sqrt((mass * (log - mean) ** 2).sum(axis=1, keepdims=True) / total)
+                            log = (log - mean) / np.maximum(sd, min_spread)
+                        z = alpha * log
+                    else:
+                        z = beta * fit - {"squared": d * d / (2 * h * h), "linear": d / h, "none": 0.0}[mode]
+                        z = np.broadcast_to(z, d.shape)
+                    w = mass * np.exp(z - np.where(mass > 0, z, -np.inf).max(axis=1, keepdims=True))
+                cum = np.cumsum(np.where(mass > 0, w, 0), axis=1)
+                cum /= cum[:, -1:]
+                here = np.flatnonzero((at >= low) & (at < low + len(block)))
+                by = here[np.argsort(at[here], kind="stable")]
+                for i, part in enumerate(np.split(by, np.searchsorted(at[by], np.arange(low + 1, low + len(block))))):
+                    last = int(np.flatnonzero(mass[i] > 0)[-1])
+                    chosen[part] = np.minimum(np.searchsorted(cum[i], u[part], side="right"), last)
+            yield pd.DataFrame({"rid": batch["rid"], "cand": cand[chosen]})
+
+    asked = rows.withColumn("__u", uniform(seed, F.lit(round_), "donor", F.col("rid")))
+    kind = f"rid {rows.schema['rid'].dataType.simpleString()}, cand {pool.schema['__cand'].dataType.simpleString()}"
+    return asked.select("rid", "__state", *schema.names, "__u").mapInPandas(draw_batch, kind)
+
+
 def concentration(probabilities: DataFrame) -> DataFrame:
     """One row: mean of the rows' largest probabilities and of the exponentials of their entropies."""
     p = F.col("p")

@@ -56,7 +56,7 @@ def fitness(df: DataFrame, queries: Sequence[Query], answers: DataFrame, key: st
     """
     w = F.col("w") if "w" in answers.columns else F.lit(1.0)
     weighted = answers.select("qid", (w * F.col("eps")).alias("we"), "q")
-    gained = matches(df, queries, [key]).join(F.broadcast(weighted), "qid").groupBy(key).agg(F.sum("we").alias("gain"))
+    gained = matches(df, queries, [key]).join(weighted, "qid").groupBy(key).agg(F.sum("we").alias("gain"))
     out = df.select(key).join(gained, key, "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
     if centred:
         centre = weighted.agg(F.coalesce(F.sum(F.col("we") * F.col("q") / F.lit(float(n_records))), F.lit(0.0)).alias("centre"))

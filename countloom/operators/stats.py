@@ -76,8 +76,8 @@ def mean_interval(value: Column, quantile: float) -> tuple[Column, Column, Colum
     return F.avg(value), F.avg(value) - half, F.avg(value) + half
 
 
-def welch(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
-    """One row: means, t and degrees of freedom of two independent groups (pooled variance)."""
+def independent(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
+    """One row: means, t and degrees of freedom of two independent groups of equal variance (pooled)."""
     g = lambda k, f: f(F.when(F.col(group) == k, F.col(value)))
     x = df.agg(g(a, F.avg).alias("mean_a"), g(b, F.avg).alias("mean_b"), g(a, F.var_samp).alias("va"), g(b, F.var_samp).alias("vb"), g(a, F.count).alias("na"), g(b, F.count).alias("nb"))
     dof = F.col("na") + F.col("nb") - 2
@@ -85,6 +85,21 @@ def welch(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
     return x.withColumn("dof", dof).withColumn("t", (F.col("mean_a") - F.col("mean_b")) / F.sqrt(pooled * (1 / F.col("na") + 1 / F.col("nb")))).select("mean_a", "mean_b", "t", "dof")
 
 
+def independent_test(df: DataFrame, group: str, value: str, a, b) -> dict[str, float | None]:
+    """The row of :func:`independent` with its two-sided p-value."""
+    r = independent(df, group, value, a, b).first().asDict()
+    return r | {"p": None if r["t"] is None else t_two_sided(r["t"], r["dof"])}
+
+
+def mean_intervals(df: DataFrame, group: str, value: str, level: float = 0.95) -> DataFrame:
+    """(group, n, mean, low, high): t intervals; the quantile is found once for each number of observations."""
+    x = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+    sizes = [r.n for r in x.select("n").distinct().collect() if r.n > 1]
+    table = df.sparkSession.createDataFrame([(n, t_quantile((1 + level) / 2, n - 1)) for n in sizes], "n long, quantile double")
+    half = F.coalesce(F.col("quantile") * F.col("sd") / F.sqrt("n"), F.lit(0.0))
+    return x.join(table, "n", "left").select(group, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+
+
 def stage_interaction(df: DataFrame, seed: str, stage: str, value: str, early, late) -> DataFrame:
     """One row: late minus early by seed, how many rise, fall or stay, and the common direction."""
     wide = df.groupBy(seed).agg(F.avg(F.when(F.col(stage) == early, F.col(value))).alias("e"), F.avg(F.when(F.col(stage) == late, F.col(value))).alias("l")).where("e is not null and l is not null")

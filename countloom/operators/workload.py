@@ -2,18 +2,28 @@
 
 A query is a list of conditions joined by AND; an empty list is every row.
 Rows are first reduced to distinct states of the attributes in use.  States are
-rolled up to one grouping set for each combination of attributes that some
-query names, and the rolled-up cells are joined with the workload, whose
-conditions have become closed bounds.
+rolled up to one set of cells for each combination of attributes that some
+query names (its shape), and the cells are joined with the workload, whose
+conditions have become closed bounds of the columns' own types.
+
+The join is always by equal keys.  Queries of one shape whose equalities name the
+same attributes form a pattern; a pattern's key is the hash of those attributes'
+values.  Where a pattern has no equality but many queries, its first numeric
+range is cut into bins at the queries' own bounds: a cell has one bin, a query
+all that its range meets.  The bounds themselves are then tested pair by pair.
+Patterns are rows of an array, so the plan does not grow with the workload.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+import math
+from bisect import bisect_right
+from collections.abc import Callable, Sequence
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
 from functools import reduce
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +34,8 @@ from countloom.functions import coerce_literal, condition
 Query = dict[str, Any]
 #: A workload of more bounds than this is joined without a broadcast.
 BROADCAST_BOUNDS = 1_000_000
-#: From so many attribute combinations on, states are joined without rolling up.
-MAX_SHAPES = 64
+#: Bins of a pattern without equalities that has more queries than BINNED.
+BINS, BINNED = 32, 64
 
 
 def query_mask(df: DataFrame, query: Query) -> Column:
@@ -71,25 +81,114 @@ def bounds(schema: T.StructType, query: Query) -> dict[str, tuple[Any, Any]] | N
     return out
 
 
-def workload_frame(df: DataFrame, queries: Sequence[Query]) -> tuple[DataFrame, list[str], list[tuple[str, ...]]]:
-    """((qid, __shape, __low_a, __high_a, ...), attributes in use, the shapes) of the queries that can match."""
-    spark = df.sparkSession
-    found = [(q, b) for q, b in enumerate(bounds(df.schema, q) for q in queries) if b is not None]
+def _bound_type(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.IntegralType):
+        return T.LongType()
+    return T.DoubleType() if isinstance(kind, (T.DoubleType, T.FloatType)) else kind
+
+
+def _closed(kind: T.DataType, low: Any, high: Any) -> tuple[Any, Any] | None:
+    """The bounds as values of the column's type: whole or scaled numbers are rounded inwards, so none is lost to a double."""
+    number = lambda v: Decimal(str(v)) if isinstance(v, float) else Decimal(v)
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        unit = Decimal(1) if isinstance(kind, T.IntegralType) else Decimal(1).scaleb(-kind.scale)
+        most = Decimal(1 << 63) if isinstance(kind, T.IntegralType) else Decimal(10) ** (kind.precision - kind.scale)
+        with localcontext(prec=80):
+            low = None if low is None or low == -math.inf else max(number(low), -most)
+            high = None if high is None or high == math.inf else min(number(high), most - unit)
+            low = None if low is None else (low / unit).to_integral_value(ROUND_CEILING) * unit
+            high = None if high is None else (high / unit).to_integral_value(ROUND_FLOOR) * unit
+        if (low is not None and low > most - unit) or (high is not None and high < -most) or (low is not None and high is not None and low > high):
+            return None
+        if isinstance(kind, T.IntegralType):
+            low, high = None if low is None else int(low), None if high is None else int(high)
+    elif isinstance(kind, T.NumericType):
+        low, high = None if low is None else float(low) + 0.0, None if high is None else float(high) + 0.0  # no -0.0: it hashes apart
+    return low, high
+
+
+class Workload(NamedTuple):
+    frame: DataFrame  #: (qid, __pattern, __bin, __low_a, __high_a, ...) of the queries that can match
+    names: list[str]  #: attributes in use
+    shapes: list[tuple[str, ...]]
+    patterns: list[tuple[int, list[int], int, list[float]]]  #: shape, places of the attributes with equalities, place of the binned one or -1, cuts
+
+
+def compile_workload(df: DataFrame, queries: Sequence[Query]) -> Workload:
+    spark, kinds = df.sparkSession, {f.name: f.dataType for f in df.schema.fields}
+    found = []
+    for q, query in enumerate(queries):
+        b = bounds(df.schema, query)
+        b = b and {n: _closed(kinds[n], *x) for n, x in b.items()}
+        if b is not None and all(x is not None for x in b.values()):
+            found.append((q, b))
     used = [f for f in df.schema.fields if any(f.name in b for _, b in found)]
-    shapes = sorted({tuple(f.name for f in used if f.name in b) for _, b in found})
-    fields = [T.StructField("qid", T.IntegerType()), T.StructField("__shape", T.IntegerType())]
-    for f in used:
-        kind = T.DoubleType() if isinstance(f.dataType, T.NumericType) else f.dataType
-        fields += [T.StructField(f"__low_{f.name}", kind), T.StructField(f"__high_{f.name}", kind)]
-    as_double = {f.name for f in used if isinstance(f.dataType, T.NumericType)}
-    cast = lambda n, v: float(v) if v is not None and n in as_double else v
-    rows = []
+    names = [f.name for f in used]
+    shapes = sorted({tuple(n for n in names if n in b) for _, b in found})
+    shape_of = {s: k for k, s in enumerate(shapes)}
+    groups: dict[tuple[int, tuple[int, ...]], list[tuple[int, dict]]] = {}
     for q, b in found:
-        row: list[Any] = [q, shapes.index(tuple(f.name for f in used if f.name in b))]
-        for f in used:
-            row += [cast(f.name, v) for v in b.get(f.name, (None, None))]
-        rows.append(row)
-    return spark.createDataFrame(rows, T.StructType(fields)), [f.name for f in used], shapes
+        equal = tuple(i for i, n in enumerate(names) if n in b and b[n][0] is not None and b[n][0] == b[n][1])
+        groups.setdefault((shape_of[tuple(n for n in names if n in b)], equal), []).append((q, b))
+    patterns, rows = [], []
+    for k, ((shape, equal), members) in enumerate(sorted(groups.items())):
+        at, cuts = -1, []
+        numeric = [i for i, n in enumerate(names) if n in shapes[shape] and isinstance(kinds[n], T.NumericType)]
+        if not equal and len(members) > BINNED and numeric:
+            at = numeric[0]
+            ends = sorted({float(v) for _, b in members for v in b[names[at]] if v is not None})
+            cuts = [ends[i * len(ends) // BINS] for i in range(1, BINS)] if len(ends) > BINS else ends
+            cuts = sorted(set(cuts))
+        patterns.append((shape, list(equal), at, cuts))
+        for q, b in members:
+            span = range(1)
+            if at >= 0:
+                low, high = b[names[at]]
+                span = range(0 if low is None else bisect_right(cuts, float(low)), (len(cuts) if high is None else bisect_right(cuts, float(high))) + 1)
+            row = [v for n in names for v in b.get(n, (None, None))]
+            rows += [(q, k, i, *row) for i in span]
+    fields = [T.StructField(n, T.IntegerType()) for n in ("qid", "__pattern", "__bin")]
+    fields += [T.StructField(f"__{side}_{f.name}", _bound_type(f.dataType)) for f in used for side in ("low", "high")]
+    frame = spark.createDataFrame(rows, T.StructType(fields))
+    frame = frame.withColumn("__key", _key(names, lambda n: F.col(f"__low_{n}"), F.array(*(_places(p[1]) for p in patterns))[F.col("__pattern")]) if patterns else F.lit(0).cast("long"))
+    return Workload(_small(frame, len(rows) * max(1, 2 * len(names))), names, shapes, patterns)
+
+
+def _places(values: Sequence[int]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<int>")
+
+
+def _key(names: Sequence[str], value: Callable[[str], Column], equal: Column) -> Column:
+    """Hash of the pattern, the bin and the values of the attributes at the places ``equal``."""
+    return F.xxhash64("__pattern", "__bin", *(F.when(F.array_contains(equal, i), value(n)) for i, n in enumerate(names)))
+
+
+def _by_pattern(df: DataFrame, w: Workload, shape: Column | None = None) -> DataFrame:
+    """``df`` with (__pattern, __key): a row for each pattern, or for each of the row's ``shape``."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if not w.patterns:
+        return df.where(F.lit(False)).withColumns({"__pattern": F.lit(0), "__key": F.lit(0).cast("long")})
+
+    def rows(of: int | None) -> Column:
+        mine = [(k, p) for k, p in enumerate(w.patterns) if of is None or p[0] == of]
+        return F.array(*(F.struct(F.lit(k).alias("id"), _places(equal).alias("equal"), F.lit(at).alias("at"), F.array(*map(F.lit, cuts)).cast("array<double>").alias("cuts")) for k, (_, equal, at, cuts) in mine))
+
+    x = df.withColumn("__p", F.explode(rows(None) if shape is None else F.array(*(rows(k) for k in range(len(w.shapes))))[shape]))
+    numeric = [(i, n) for i, n in enumerate(w.names) if any(p[2] == i for p in w.patterns)]
+    value = F.coalesce(*(F.when(F.col("__p.at") == i, F.col(n).cast("double")) for i, n in numeric)) if numeric else F.lit(None).cast("double")
+    place = F.when(F.col("__p.at") < 0, F.lit(0)).otherwise(F.size(F.filter(F.col("__p.cuts"), lambda c: c <= value)))
+
+    def typed(n: str) -> Column:
+        kind = _bound_type(kinds[n])
+        return F.col(n).cast(kind) + F.lit(0.0) if isinstance(kind, T.DoubleType) else F.col(n).cast(kind)
+
+    x = x.withColumns({"__pattern": F.col("__p.id"), "__bin": place.cast("int")})
+    return x.withColumn("__key", _key(w.names, typed, F.col("__p.equal"))).drop("__p", "__bin")
+
+
+def _met(df: DataFrame, w: Workload) -> DataFrame:
+    """``df`` (with __pattern, __key) joined with the queries it meets."""
+    return df.join(w.frame.drop("__bin").withColumnsRenamed({"__key": "__wkey", "__pattern": "__wpattern"}), (F.col("__key") == F.col("__wkey")) & (F.col("__pattern") == F.col("__wpattern")) & _inside(df, w.names))
 
 
 def _small(frame: DataFrame, cells: int) -> DataFrame:
@@ -123,29 +222,19 @@ def evaluate(df: DataFrame, queries: Sequence[Query]) -> DataFrame:
     """(qid, answer) for every query, zeros included; qid is the query's place."""
     spark = df.sparkSession
     everyone = spark.range(len(queries)).select(F.col("id").cast("int").alias("qid"))
-    workload, names, shapes = workload_frame(df, queries)
-    workload = _small(workload, len(queries) * max(1, 2 * len(names)))
-    cells = states(df, names)
-    if len(shapes) <= MAX_SHAPES:
-        number = {sum(1 << (len(names) - 1 - i) for i, n in enumerate(names) if n not in s): k for k, s in enumerate(shapes)}
-        if names:
-            rolled = cells.groupingSets([[F.col(n) for n in s] for s in shapes], *names).agg(F.sum(ROWS).alias(ROWS), F.grouping_id().alias("__gid"))
-            pairs = F.create_map(*(F.lit(x) for g, k in number.items() for x in (int(g), k)))
-            cells = rolled.withColumn("__cell_shape", F.element_at(pairs, F.col("__gid").cast("int")))
-        else:
-            cells = cells.withColumn("__cell_shape", F.lit(0))
-        joined = cells.join(workload, (F.col("__cell_shape") == F.col("__shape")) & _inside(df, names))
-    else:
-        joined = cells.join(workload, _inside(df, names))
-    counted = joined.groupBy("qid").agg(F.sum(ROWS).alias("answer"))
+    w = compile_workload(df, queries)
+    shapes = F.array(*(F.struct(F.lit(k).alias("id"), _places([w.names.index(n) for n in s]).alias("held")) for k, s in enumerate(w.shapes))).cast("array<struct<id:int,held:array<int>>>")
+    cells = states(df, w.names).withColumn("__s", F.explode(shapes))
+    rolled = cells.select(F.col("__s.id").alias("__shape"), *(F.when(F.array_contains("__s.held", i), F.col(n)).alias(n) for i, n in enumerate(w.names)), ROWS)
+    rolled = rolled.groupBy("__shape", *w.names).agg(F.sum(ROWS).alias(ROWS))
+    counted = _met(_by_pattern(rolled, w, F.col("__shape")), w).groupBy("qid").agg(F.sum(ROWS).alias("answer"))
     return everyone.join(counted, "qid", "left").select("qid", F.coalesce("answer", F.lit(0)).cast("long").alias("answer"))
 
 
 def matches(df: DataFrame, queries: Sequence[Query], keep: Sequence[str]) -> DataFrame:
     """(keep..., qid): every pair of a row and a query it meets."""
-    workload, names, _ = workload_frame(df, queries)
-    workload = _small(workload, len(queries) * max(1, 2 * len(names)))
-    return df.join(workload, _inside(df, names)).select(*keep, "qid")
+    w = compile_workload(df, queries)
+    return _met(_by_pattern(df.select(*dict.fromkeys([*keep, *w.names])), w), w).select(*keep, "qid")
 
 
 def verify(df: DataFrame, queries: Sequence[Query]) -> DataFrame:

@@ -234,7 +234,7 @@ def k03(spark, sf_dir):
 
 @query("k04_rms_scale", f"WITH {_DIRECTIONS} SELECT round(sqrt(avg(score * score)), 6) AS scale FROM dr")
 def k04(spark, sf_dir):
-    return _directions(spark, sf_dir).agg(r6(kernels.rms(F.col("score")), "scale"))
+    return kernels.rms(_directions(spark, sf_dir), "score").select(r6("scale", "scale"))
 
 
 _TILT = "CASE WHEN score = 0 THEN 0.3 ELSE 1 / (1 + exp(-(ln(0.3 / 0.7) + 2.0 * score))) END"
@@ -374,7 +374,7 @@ def k25(spark, sf_dir):
 
 @query("k27_gain_rms", f"WITH {_CELLS} SELECT round(sqrt(avg(dl * dl)), 6) AS scale FROM cl WHERE dl <> 0")
 def k27(spark, sf_dir):
-    return _cell_losses(spark, sf_dir).where("delta_loss <> 0").agg(r6(kernels.rms(F.col("delta_loss")), "scale"))
+    return kernels.rms(_cell_losses(spark, sf_dir).where("delta_loss <> 0"), "delta_loss").select(r6("scale", "scale"))
 
 
 @query("k17_gibbs_chain")
@@ -638,7 +638,7 @@ def t02(spark, sf_dir):
 
 @query("t03_independent", f"WITH {_PAIRED}, g AS (SELECT avg(v) FILTER (WHERE event_type = 'click') AS ma, avg(v) FILTER (WHERE event_type = 'purchase') AS mb, var_samp(v) FILTER (WHERE event_type = 'click') AS va, var_samp(v) FILTER (WHERE event_type = 'purchase') AS vb, count(v) FILTER (WHERE event_type = 'click') AS na, count(v) FILTER (WHERE event_type = 'purchase') AS nb FROM ev2) SELECT round(ma, 5) AS mean_a, round(mb, 5) AS mean_b, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)), 5) AS t, na + nb - 2 AS dof FROM g")
 def t03(spark, sf_dir):
-    return stats.welch(_by_user(spark, sf_dir), "event_type", "v", "click", "purchase").select(*(F.round(c, 5).alias(c) for c in ("mean_a", "mean_b", "t")), "dof")
+    return stats.independent(_by_user(spark, sf_dir), "event_type", "v", "click", "purchase").select(*(F.round(c, 5).alias(c) for c in ("mean_a", "mean_b", "t")), "dof")
 
 
 @query("t04_stage_interaction", f"WITH {_PAIRED}, w AS (SELECT b - a AS d FROM pa) SELECT count(*) AS n, round(avg(d), 5) AS mean_change, CAST(count(*) FILTER (WHERE d > 0) AS BIGINT) AS up, CAST(count(*) FILTER (WHERE d < 0) AS BIGINT) AS down, CASE WHEN count(*) FILTER (WHERE d > 0) = count(*) THEN 'all_up' WHEN count(*) FILTER (WHERE d < 0) = count(*) THEN 'all_down' ELSE 'mixed' END AS direction FROM w")

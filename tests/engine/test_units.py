@@ -2,6 +2,7 @@
 
 import math
 from datetime import datetime
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -74,11 +75,42 @@ def test_workload_does_not_depend_on_plan_or_partitions(spark, monkeypatch):
     want = [workload.count_one(df, q) for q in queries]
     answer = lambda x: [r.answer for r in workload.evaluate(x, queries).orderBy("qid").collect()]
     assert answer(df) == answer(df.repartition(7)) == want
-    monkeypatch.setattr(workload, "MAX_SHAPES", 0)
     monkeypatch.setattr(workload, "BROADCAST_BOUNDS", 0)
     assert answer(df) == want
 
 
+def test_workload_of_many_shapes_and_ranges(spark, monkeypatch):
+    """A thousand queries of up to three of ten attributes: more shapes than a plan could name, ranges in bins, every join by equal keys."""
+    rng, names = np.random.default_rng(2), [f"a{k}" for k in range(10)]
+    values = [tuple(int(v) if rng.random() > 0.02 else None for v in r) for r in rng.integers(0, 9, (400, 10))]
+    df = spark.createDataFrame(values, ", ".join(f"{n} {'double' if k % 3 == 0 else 'long'}" for k, n in enumerate(names)).replace("double", "int"))
+    queries = []
+    for k in range(1000):
+        cs = []
+        for a in rng.choice(names, 1 if k % 3 == 0 else int(rng.integers(1, 4)), replace=False):
+            low, high = sorted(int(v) for v in rng.integers(-1, 10, 2))
+            cs.append([eq(str(a), low), {"attribute": str(a), "operator": ">=", "value": low + 0.5}, {"attribute": str(a), "operator": "between", "lower": low, "upper": high}][int(rng.integers(3))])
+        queries.append({"conditions": cs})
+    monkeypatch.setattr(workload, "BINNED", 8)
+    w = workload.compile_workload(df, queries)
+    assert len(w.shapes) > 64 and any(p[2] >= 0 for p in w.patterns)
+    holds = lambda v, c: v is not None and (v == c["value"] if c["operator"] == "==" else v >= c["value"] if c["operator"] == ">=" else c["lower"] <= v <= c["upper"])
+    want = [sum(all(holds(r[names.index(c["attribute"])], c) for c in q["conditions"]) for r in values) for q in queries]
+    assert [r.answer for r in workload.evaluate(df, queries).orderBy("qid").collect()] == want
+    met = workload.matches(df.withColumn("rid", F.monotonically_increasing_id()), queries, ["rid"])
+    assert {r.qid: r["count"] for r in met.groupBy("qid").count().collect()} == {k: n for k, n in enumerate(want) if n}
+    plan = workload.evaluate(df, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bounds_beyond_doubles(spark):
+    df = spark.createDataFrame([(9007199254740993, Decimal("0.10"), -0.0)], "i long, m decimal(10,2), d double")
+    tests = [[eq("i", 9007199254740992)], [eq("i", 9007199254740993)], [{"attribute": "i", "operator": ">=", "value": 9007199254740993.0}], [{"attribute": "m", "operator": "between", "lower": 0.1, "upper": 0.1}], [eq("d", 0)], [{"attribute": "i", "operator": ">=", "value": 1e30}]]
+    queries = [{"conditions": c} for c in tests]
+    got = [r.answer for r in workload.evaluate(df, queries).orderBy("qid").collect()]
+    assert got == [0, 1, 1, 1, 1, 0]
+
+
 def test_fingerprints():
     a = {"id": "x", "conditions": [eq("a", 1), eq("b", 2)]}
     b = {"id": "y", "result": 3, "conditions": [eq("b", 2), eq("a", 1)]}
@@ -148,11 +180,39 @@ def test_gibbs_chain_follows_its_distribution(spark):
     assert again == {r.rid: r["mask"] for r in kernels.gibbs_chain(df, 0.3, 1.5, 40, 3).collect()}
 
 
-def test_pairs_refuse_too_many(spark, monkeypatch):
-    monkeypatch.setattr(pairs, "MAX_PAIRS", 10)
-    df = spark.createDataFrame([(k, "a") for k in range(4)], "rid long, x string")
-    with pytest.raises(ValueError, match="pairs"):
-        pairs.pair_distances(df, df, Schema((Attribute("x", CATEGORICAL, ("a",)),)), "rid")
+def test_draws_in_blocks_are_those_of_pairs(spark, monkeypatch):
+    """Donors from the matrix against donors from rows of pairs, for every mode and either size of the pool."""
+    rows = init.random_table(spark, SCHEMA, 60, 5).withColumn("__state", F.to_json(F.struct("x", "n"))).cache()
+    fit = F.col("n") * 0.3 + (F.col("x") == "a").cast("double")
+    pool = rows.groupBy(F.col("__state").alias("__cand"), "x", "n").agg(F.count("*").alias("__n")).withColumn("__fitness", fit).cache()
+    for mode in pairs.MODES:
+        for more in ({}, {"exclude_self": True, "scale_invariant": True, "alpha": 4.0}):
+            got = {r.rid: r.cand for r in pairs.draw_donors(rows, pool, SCHEMA, 3, 1, mode, **more).collect()}
+            monkeypatch.setattr(pairs, "POOL_ROWS", 2)
+            want = {r.rid: r.cand for r in pairs.draw_donors(rows, pool, SCHEMA, 3, 1, mode, **more).collect()}
+            monkeypatch.undo()
+            assert got == want and len(got) == 60
+
+
+def test_rms_at_the_ends_of_doubles(spark):
+    of = lambda *v: kernels.rms(spark.createDataFrame([(x,) for x in v], "s double"), "s").first().scale
+    assert math.isclose(of(1e200, 2e200), 1e200 * math.sqrt(2.5)) and math.isclose(of(3e-200, 4e-200), 1e-200 * math.sqrt(12.5))
+    assert of(0.0, 0.0) == of() == 0.0
+
+
+def test_heatbath_refuses_underflow(spark):
+    df = spark.createDataFrame([(1, 0.0), (1, 1.0)], "g int, e double")
+    assert [round(r.p, 6) for r in kernels.heatbath(df, "g", "e", 2.0).orderBy("e").collect()] == [0.880797, 0.119203]
+    with pytest.raises(Exception, match="underflows"):
+        kernels.heatbath(df, "g", "e", 1e5).collect()
+
+
+def test_independent_groups_and_intervals(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 2.0), ("b", 3.0), ("b", 7.0)], "g string, v double")
+    r = stats.independent_test(df, "g", "v", "a", "b")
+    assert r["dof"] == 4 and math.isclose(r["t"], -(5 / 3) / math.sqrt(14 / 3 * 2 / 3)) and math.isclose(r["p"], 0.398208, abs_tol=2e-6)
+    i = {x.g: x for x in stats.mean_intervals(df, "g", "v").collect()}["a"]
+    assert math.isclose(i.high - i.mean, 4.302652729911275 * math.sqrt(7 / 3) / math.sqrt(3), rel_tol=1e-9)
 
 
 def test_maxent(spark):
@@ -262,6 +322,36 @@ def test_driver_query_rewrites_a_table_of_full_size(spark):
     assert registered["e01_evolution"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count() != 120
 
 
+@pytest.mark.parametrize("more", [{"start": "pairwise_maxent", "exclude_self": False}, {"start": "marginal", "gibbs_sweeps": 2, "strength": 1.0}, {"fixed_alpha": 3.0, "cooling": True, "cooling_monotone": True, "scale_invariant": True}])
+def test_evolution_options(spark, more):
+    schema = Schema((Attribute("x", CATEGORICAL, ("a", "b")), Attribute("y", CATEGORICAL, ("u", "v"))))
+    queries = [{"conditions": [eq("x", p), eq("y", q)]} for p in "ab" for q in "uv"]
+    targets = spark.createDataFrame([(k, t, 0.5, 2.0) for k, t in enumerate((20, 5, 5, 10))], "qid int, target long, sigma double, w double")
+    marginals = spark.createDataFrame([("x", "a", None, None, "a", 25), ("x", "b", None, None, "b", 15), ("y", "u", None, None, "u", 25), ("y", "v", None, None, "v", 15)], "attribute string, cell string, lo int, hi int, value string, n long")
+    best, said = engine.run_evolution(spark, queries, targets, schema, engine.Config(n_records=40, rounds=2, seed=4, **more), marginals=marginals)
+    losses = [r["loss"] for r in said["rounds"]]
+    assert best.count() == 40 and losses == sorted(losses, reverse=True)
+    if more.get("start") == "marginal":
+        assert said["direction_scale"] is None or said["direction_scale"] > 0
+
+
+def test_contradicting_pairs_and_unknown_values():
+    schema = Schema((Attribute("a", CATEGORICAL, ("x", "y")), Attribute("b", CATEGORICAL, ("x", "y")), Attribute("c", CATEGORICAL, ("x", "y"))))
+    cell = lambda p, u, q, v, n: {"conditions": [eq(p, u), eq(q, v)], "result": n}
+    full = lambda p, q, on: [cell(p, u, q, v, 50 * ((u == v) == on)) for u in "xy" for v in "xy"]
+    assert init.pair_targets(schema, [cell("a", "zz", "b", "x", 3), cell("a", "x", "nope", "x", 3)], 100) == {}
+    with pytest.raises(ValueError, match="contradict"):
+        init.maxent(schema, init.pair_targets(schema, full("a", "b", True) + full("b", "c", True) + full("a", "c", False), 100))
+
+
+def test_tasks_keep_their_order():
+    import time
+
+    assert engine.run_tasks([lambda k=k: (time.sleep(0.05 * (3 - k)), k)[1] for k in range(3)], 3) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        engine.run_tasks([], 0)
+
+
 def test_exact_target_stops(spark):
     start = init.random_table(spark, SCHEMA, 20, 3)
     targets = workload.evaluate(start, QUERIES).withColumnRenamed("answer", "target")
