@@ -196,12 +196,6 @@ def p05(spark, sf_dir):
     return spark.createDataFrame([(name,)], "raised string")
 
 
-@query("j10_disjoint_sets", f"WITH {LI} SELECT CAST(0 AS BIGINT) AS common")
-def j10(spark, sf_dir):
-    prints = lambda qs: spark.createDataFrame([(workload.fingerprint(q),) for q in qs], "f string")
-    return prints(_SPECIFIC[:7]).intersect(prints(_SPECIFIC[7:])).agg(F.count("*").alias("common"))
-
-
 @query("a04_general_join", f"WITH {LI} {' UNION ALL '.join(f'SELECT {k} AS qid, count(*) AS answer FROM li WHERE flag = {chr(39)}{f}{chr(39)} AND line = {n} AND disc >= {d}' for k, (f, n, d) in enumerate((f, n, d) for f in 'ANR' for n in (1, 2) for d in (0, 5)))}")
 def a04(spark, sf_dir):
     eq = lambda a, v: {"attribute": a, "operator": "==", "value": v}
