@@ -311,6 +311,26 @@ def test_sharding_links_by_every_line(spark, shared):
     assert (got.groupby(got.doc_id // 4).shard.nunique() > 1).mean() < 0.2
 
 
+def test_propagation_leaves_fewer_links_cut(spark):
+    """Documents with texts of their own, four to a shared line: without rounds nearly all links are cut."""
+    df = spark.createDataFrame([(k, f"own words of {k}\nthe line that four share, number {k // 4}") for k in range(400)], "doc_id long, text string")
+    none, some = (sharding.assign(df, shards=8, rounds=r).toPandas() for r in (0, 8))
+    assert (none.n_links == 3).all() and none.n_cut.sum() > 0.7 * none.n_links.sum()
+    assert some.n_cut.sum() < 0.3 * none.n_cut.sum() and some.groupby("shard").size().tolist() == [50] * 8
+    shard = some.set_index("doc_id").shard
+    assert all(r.n_cut == sum(shard[d] != r.shard for d in range(r.doc_id // 4 * 4, r.doc_id // 4 * 4 + 4)) for r in some.itertuples())
+
+
+def test_sharding_query_against_its_contract(spark, texts):
+    got = queries.QUERIES["op4_sharding"](spark, DIR).toPandas()
+    raw = {i: (t or "").encode() for i, t in texts.items()}
+    assert set(got.doc_id) == set(raw) and (got.law == "rows").all() and got.grown_shard.isna().all()
+    assert all((n, c) == (len(raw[i]) + 8, zlib.crc32(raw[i])) for i, n, c in zip(got["doc_id"], got["size"], got["text_crc32"], strict=True))
+    n = got.groupby("shard").size()
+    assert set(got.shard) <= set(range(24)) and n.max() - n.reindex(range(24), fill_value=0).min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def test_sharding_sums_over_hubs(spark):
     state = spark.createDataFrame([(0, 7, 3), (1, 7, 0), (2, 8, 1), (3, 9, 1), (4, 7, 0)], "rid long, lead long, shard int")
     # Row 0 meets shard 0 in one hub and shard 1 in two.
@@ -333,6 +353,28 @@ def test_rule_tokens():
     assert list(index.by_token) == ["win"] and index.untokened == [1]
 
 
+def test_rules_by_token_are_all_rules():
+    """The first rule that matches, among rules with options, alternatives and sets, against running every rule."""
+    rng = np.random.default_rng(1)
+    patterns = [*urlfilter.PATTERNS, r"/(a|b|cd)x?/", r"\bfoo[12]\b", r"(?=zz)x", r"q{2,3}", r"^http:", r"\.zip$", r"[^a]b/", r"a|\bb\b"]
+    index = urlfilter.UrlIndex(patterns, [], {"ads": 3})
+    words = ["casino", "win", "free", "bets", "spins", "ads", "ad", "track", "serve", "banner", "banners", "popup", "12", "cd", "cdx", "ax", "foo1", "foo3", "b", "qq", "zip", "affiliate", "doubleclick", "adult", "spam", "farm"]
+    for _ in range(3000):
+        url = "http://" + "".join(rng.choice(words) + rng.choice(["-", "/", ".", "?", "&", "=", "", "_"]) for _ in range(6))
+        assert index.pattern(url) == next((p for p in patterns if re.search(p, url, re.ASCII)), None)
+    assert not set(index.untokened) & set(range(len(urlfilter.PATTERNS)))
+
+
+def test_rule_tables_in_blocks(spark):
+    """Many rules, in one block and in several, as lists and as tables."""
+    pages = spark.createDataFrame([(k, f"http://h{k % 7}.net/de/8/word{k}/x") for k in range(60)], "page_id long, url string")
+    patterns = [rf"\bword{k}\b" for k in range(0, 3000, 2)]
+    hosts = [urlfilter.HostRule("block", f"h{k}.net/de/") for k in range(3)] + [urlfilter.HostRule("allow", "h1.net/de/8")]
+    tables = spark.createDataFrame(list(enumerate(patterns)), "place int, pattern string"), spark.createDataFrame(hosts, "verdict string, text string")
+    one, many = ({r.page_id: tuple(r.v) for r in urlfilter.filter_urls(pages, *rules, out="v", block_bytes=b).collect()} for rules, b in (((patterns, hosts), 1 << 24), (tables, 100_000)))
+    assert one == many and one[1][2:] == ("h1.net/de/8", "allow", None) and one[4][2:] == (None, "block", r"\bword4\b")
+
+
 def test_toxic_grams_stay_within_texts():
     (_, _, points, offsets), = toxicity.gram_chunks(pa.array(["abcd", "", None, "ABCDE"]))
     text, gram = toxicity.text_grams(points, offsets)

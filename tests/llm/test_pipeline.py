@@ -49,3 +49,20 @@ def test_run_applies_all_stages(spark):
     got = corpus_pipeline.run(spark, DIR)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 100 < got.count() < 200
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, rows without an id, columns of any name, no rows."""
+    run = " ".join(f"palabra{k} de la casa" for k in range(30))
+    rows = [(1, run, "es", "s", 9, 0), (1, run, "es", "s", 9, 1), (None, run, None, None, None, 2), (None, run, None, None, None, 3), (2, None, "es", "s", 0, 4), (3, "", "es", "s", 0, 5), (4, "other words entirely here", "en", "t", 25, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, number long")
+    got = {name: stage(spark, docs, DIR).collect() for name, stage in corpus_pipeline.STAGES[:-1]}
+    assert {r.number for r in got["language_id"]} <= {0, 1, 2, 3, 6}
+    # Rows of one id and text are one document there, and the least id is first.
+    assert sorted(r.number for r in got["line_dedup"]) == [2, 3, 4, 5, 6]
+    kept = got["near_dedup"]
+    assert len(kept) == 4 and {r.number for r in kept if r.text == run} <= {0, 1} and {4, 5, 6} <= {r.number for r in kept}
+    assert sorted(r.number for r in got["decontamination"]) == list(range(7))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, docs.limit(0), DIR)
+        assert none.columns == docs.columns and none.count() == 0
