@@ -136,7 +136,7 @@ def compile_workload(df: DataFrame, queries: Sequence[Query]) -> Workload:
         numeric = [i for i, n in enumerate(names) if n in shapes[shape] and isinstance(kinds[n], T.NumericType)]
         if not equal and len(members) > BINNED and numeric:
             at = numeric[0]
-            ends = sorted({float(v) for _, b in members for v in b[names[at]] if v is not None})
+            ends = sorted({float(v) for _, b in members for v in b[names[at]] if v is not None and math.isfinite(v)})
             cuts = [ends[i * len(ends) // BINS] for i in range(1, BINS)] if len(ends) > BINS else ends
             cuts = sorted(set(cuts))
         patterns.append((shape, list(equal), at, cuts))
@@ -150,12 +150,13 @@ def compile_workload(df: DataFrame, queries: Sequence[Query]) -> Workload:
     fields = [T.StructField(n, T.IntegerType()) for n in ("qid", "__pattern", "__bin")]
     fields += [T.StructField(f"__{side}_{f.name}", _bound_type(f.dataType)) for f in used for side in ("low", "high")]
     frame = spark.createDataFrame(rows, T.StructType(fields))
-    frame = frame.withColumn("__key", _key(names, lambda n: F.col(f"__low_{n}"), F.array(*(_places(p[1]) for p in patterns))[F.col("__pattern")]) if patterns else F.lit(0).cast("long"))
+    frame = frame.withColumn("__key", _key(names, lambda n: F.col(f"__low_{n}"), _constant([p[1] for p in patterns], "array<array<int>>")[F.col("__pattern")]) if patterns else F.lit(0).cast("long"))
     return Workload(_small(frame, len(rows) * max(1, 2 * len(names))), names, shapes, patterns)
 
 
-def _places(values: Sequence[int]) -> Column:
-    return F.array(*map(F.lit, values)).cast("array<int>")
+def _constant(value: Any, kind: str) -> Column:
+    """A nested constant as one literal, which is folded once, whatever its size."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def _key(names: Sequence[str], value: Callable[[str], Column], equal: Column) -> Column:
@@ -169,11 +170,13 @@ def _by_pattern(df: DataFrame, w: Workload, shape: Column | None = None) -> Data
     if not w.patterns:
         return df.where(F.lit(False)).withColumns({"__pattern": F.lit(0), "__key": F.lit(0).cast("long")})
 
-    def rows(of: int | None) -> Column:
-        mine = [(k, p) for k, p in enumerate(w.patterns) if of is None or p[0] == of]
-        return F.array(*(F.struct(F.lit(k).alias("id"), _places(equal).alias("equal"), F.lit(at).alias("at"), F.array(*map(F.lit, cuts)).cast("array<double>").alias("cuts")) for k, (_, equal, at, cuts) in mine))
-
-    x = df.withColumn("__p", F.explode(rows(None) if shape is None else F.array(*(rows(k) for k in range(len(w.shapes))))[shape]))
+    row = "array<struct<id:int,equal:array<int>,at:int,cuts:array<double>>>"
+    known = [(s, {"id": k, "equal": equal, "at": at, "cuts": cuts}) for k, (s, equal, at, cuts) in enumerate(w.patterns)]
+    if shape is None:
+        mine = _constant([p for _, p in known], row)
+    else:
+        mine = _constant([[p for s, p in known if s == k] for k in range(len(w.shapes))], f"array<{row}>")[shape]
+    x = df.withColumn("__p", F.explode(mine))
     numeric = [(i, n) for i, n in enumerate(w.names) if any(p[2] == i for p in w.patterns)]
     value = F.coalesce(*(F.when(F.col("__p.at") == i, F.col(n).cast("double")) for i, n in numeric)) if numeric else F.lit(None).cast("double")
     place = F.when(F.col("__p.at") < 0, F.lit(0)).otherwise(F.size(F.filter(F.col("__p.cuts"), lambda c: c <= value)))
@@ -223,7 +226,7 @@ def evaluate(df: DataFrame, queries: Sequence[Query]) -> DataFrame:
     spark = df.sparkSession
     everyone = spark.range(len(queries)).select(F.col("id").cast("int").alias("qid"))
     w = compile_workload(df, queries)
-    shapes = F.array(*(F.struct(F.lit(k).alias("id"), _places([w.names.index(n) for n in s]).alias("held")) for k, s in enumerate(w.shapes))).cast("array<struct<id:int,held:array<int>>>")
+    shapes = _constant([{"id": k, "held": [w.names.index(n) for n in s]} for k, s in enumerate(w.shapes)], "array<struct<id:int,held:array<int>>>")
     cells = states(df, w.names).withColumn("__s", F.explode(shapes))
     rolled = cells.select(F.col("__s.id").alias("__shape"), *(F.when(F.array_contains("__s.held", i), F.col(n)).alias(n) for i, n in enumerate(w.names)), ROWS)
     rolled = rolled.groupBy("__shape", *w.names).agg(F.sum(ROWS).alias(ROWS))
