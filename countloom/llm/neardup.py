@@ -148,19 +148,18 @@ def _parts(tile: int) -> Column:
     return F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("bytes") / F.lit(TILE_BYTES))).cast("long").alias("parts")
 
 
-def _across(nodes: DataFrame, classes: DataFrame, tile: int) -> DataFrame:
+def _across(nodes: DataFrame, classes: DataFrame, tile: int, scratch: Scratch) -> DataFrame:
     """Places for ``nodes`` (node, comp, bytes, shingles): any two that share a band, in different components, share a tile.
 
-    All ``classes`` (node, bands) go along until a band's components are known: a band's nodes are all among
-    ``nodes`` or none is, and bands of one component, or of none, end there.  Within a
-    band, nodes of a component that fills a tile are dealt into blocks of their own;
-    the others are dealt into blocks by component.  Tiles are the pairs of blocks, but
-    not two of the same large component.
+    Bands that hold nodes of one component end at once; the others' members are
+    written.  Within a band, nodes of a component that fills a tile are dealt into
+    blocks of their own; the others are dealt into blocks by component.  Tiles are
+    the pairs of blocks, but not two of the same large component.
     """
-    known = nodes.select("node", "comp", F.col("bytes").alias("size"))
-    held = classes.select("node", "bands").join(known, "node", "left").select("node", "comp", F.col("size").alias("bytes"), F.explode("bands").alias("band"))
+    held = classes.select("node", "bands").join(nodes.select("node", "comp", F.col("bytes").alias("size")), "node")
+    held = held.select("node", "comp", F.col("size").alias("bytes"), F.explode("bands").alias("band"))
     several = held.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band")
-    held = held.join(several, "band", "left_semi")
+    held = scratch.cut(held.join(several, "band", "left_semi"))
     size = held.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("all_bytes"), _parts(tile))
     own = size.where("parts > 1").select("band", "comp", "parts")
     rest = size.where("parts = 1").groupBy("band").agg(F.greatest(F.ceil(F.sum("n") / tile), F.ceil(F.sum("all_bytes") / F.lit(TILE_BYTES))).alias("rest"))
@@ -201,7 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, values:
             large = scratch.cut(_relabel(large, links))
         mixed = scratch.cut(large.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("cluster"))
         if not mixed.isEmpty():
-            links = scratch.cut(links.union(_tile_links(_across(large.join(small(mixed), "cluster", "left_semi"), classes, tile), percent)))
+            links = scratch.cut(links.union(_tile_links(_across(large.join(small(mixed), "cluster", "left_semi"), classes, tile, scratch), percent)))
     label = scratch.own(components(links, task_edges)).withColumnRenamed("key", "node")
     label = scratch.cut(label.join(near.select("node", "key", "doc_id"), "node"))
     component = scratch.cut(label.groupBy("label").agg(F.min("doc_id").alias("component_id")))
