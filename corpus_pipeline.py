@@ -2,6 +2,15 @@
 
 The folders lie under the session's spark.checkpoint.dir.  A stage works on all
 that the one before kept; all but the last return the columns of documents.
+
+Cases: language ID drops texts that are null, empty or without a letter; the later
+stages, given such rows, keep them.  Repeated rows pass language ID, line dedup (rows of
+one id and text are one document there) and decontamination alike; near-dedup keeps
+one row of each group, repeated rows and rows without an id included: that with the
+least id, or the first where no row has one.  Ties are settled as each operator's
+docstring says.  Very long texts are worked on whole.  Columns beyond those of
+documents pass through the first four stages, whatever their names.  An empty table
+gives empty results.
 """
 
 from __future__ import annotations
