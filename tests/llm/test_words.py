@@ -5,6 +5,9 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from countloom.llm import _spark
 from countloom.llm._words import ALNUM, NON_SPACE, chunks
 
 TEXT = st.text(alphabet="aB9 \t\n\x0b\x0c\r.-éß漢\x85\xa0", max_size=40)
@@ -35,3 +38,18 @@ def test_empty_column():
     assert list(chunks(pa.array([], pa.string()), NON_SPACE)) == []
     (_, _, w), = chunks(pa.array([None, ""]), NON_SPACE)
     assert len(w.hashes()) == 0 and np.array_equal(w.ptr, [0, 0, 0])
+
+
+def test_sieves_never_miss(spark):
+    """Values that are among the held ones always pass, in numpy and as a broadcast table; most others do not."""
+    held = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("h"))
+    every = spark.range(3000).select("id", F.xxhash64("id").alias("h"))
+    some, rest = _spark.split_by_sieve(every, "h", held, "h")
+    got = {r.id for r in some.collect()}
+    assert set(range(0, 3000, 3)) <= got and len(got) < 1500 and some.columns == rest.columns == every.columns
+    assert got | {r.id for r in rest.collect()} == set(range(3000)) and not got & {r.id for r in rest.collect()}
+    values = every.orderBy("id").toPandas().h.to_numpy()
+    may = _spark.Sieve(held, "h").may_hold(values)
+    assert may[::3].all() and may.mean() < 0.5
+    none, rest = _spark.split_by_sieve(every, "h", held.limit(0), "h")
+    assert none.count() == 0 and rest.count() == 3000
