@@ -4,7 +4,6 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
-
 from pyspark.sql import functions as F
 
 from countloom.llm import _spark
