@@ -149,8 +149,8 @@ def _clean(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.
         yield pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int32()), ("n_words", pa.int32()), ("removed", pa.list_(pa.int32())), ("n_removed_words", pa.int32())]))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id", out: str = "line_dedup") -> DataFrame:
-    """``docs`` with a struct column ``out``: text without repeated runs, n_lines, n_words, removed (line numbers), n_removed_words."""
+def _repeats(docs: DataFrame, min_words: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may lose lines, with the runs they lose or null in __gone; rows that lose none), all columns in __row."""
     spark = docs.sparkSession
     importable(spark)
     key = {"__id": F.col(doc_id), "__mark": F.xxhash64(text)}
@@ -168,7 +168,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     keyed = docs.select(F.struct(*docs.columns).alias("__row"), *(c.alias(k) for k, c in key.items())).withColumn("__key", F.xxhash64("__id", "__mark"))
     hit, whole = split_by_sieve(keyed, "__key", gone, "__key")
     same = hit["__id"].eqNullSafe(gone["__id"]) & (hit["__mark"] == gone["__mark"])
-    rows = hit.join(gone, same, "left").select("__row", "__gone").unionAll(whole.select("__row", F.lit(None).cast(gone.schema["__gone"].dataType).alias("__gone")))
+    return hit.join(gone, same, "left").select("__row", "__gone"), whole.select("__row")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id", out: str = "line_dedup") -> DataFrame:
+    """``docs`` with a struct column ``out``: text without repeated runs, n_lines, n_words, removed (line numbers), n_removed_words."""
+    hit, whole = _repeats(docs, min_words, text, doc_id)
+    rows = hit.unionAll(whole.select("__row", F.lit(None).cast(hit.schema["__gone"].dataType).alias("__gone")))
     rows = rows.withColumn("__clean", F.arrow_udf(_clean, _CLEAN)(F.col(f"__row.{text}"), F.col("__gone.low"), F.col("__gone.high")))
     return rows.select(*(F.col(f"__row.`{c}`") for c in docs.columns if c != out), F.col("__clean").alias(out))
 
@@ -180,11 +186,16 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated runs of lines; one of which no word is left goes."""
-    cleaned = dedup_lines(docs, out="__dedup")
-    r = F.col("__dedup")
+    hit, whole = _repeats(docs, MIN_WORDS, "text", "doc_id")
+    row = {c: F.col(f"__row.`{c}`") for c in docs.columns}
+    # Only texts that may lose lines go to Python, and once: a filter on a deterministic function's result is pushed below it and calls it again, in one more worker for each task.
+    clean = F.arrow_udf(_clean, _CLEAN).asNondeterministic()
+    hit = hit.withColumn("__clean", clean(row["text"], F.col("__gone.low"), F.col("__gone.high")))
+    r = F.col("__clean")
     changed = F.size(r["removed"]) > 0
-    columns = {"text": r["text"]} | ({"n_chars": F.when(changed, F.length(r["text"])).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return cleaned.where(~changed | (r["n_removed_words"] < r["n_words"])).withColumns(columns).select(*docs.columns)
+    columns = row | {"text": r["text"]} | ({"n_chars": F.when(changed, F.length(r["text"])).otherwise(row["n_chars"])} if "n_chars" in row else {})
+    kept = hit.where(~changed | (r["n_removed_words"] < r["n_words"])).select(*(c.alias(n) for n, c in columns.items()))
+    return kept.unionAll(whole.select(*(c.alias(n) for n, c in row.items())))
 
 
 QUERIES = {"op6_line_dedup": op6_line_dedup}

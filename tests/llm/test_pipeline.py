@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from countloom.llm import bpe
+from countloom.llm import bpe, linededup
 from countloom.llm._spark import table
 from tests.llm.test_operators import DIR, LOWER, WORD, _components, _runs
 
@@ -66,3 +66,9 @@ def test_stages_on_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         none = stage(spark, docs.limit(0), DIR)
         assert none.columns == docs.columns and none.count() == 0
+
+
+def test_line_dedup_sends_texts_to_python_once(spark):
+    """Memory: each call of a Python function in a task has a worker of its own; texts that lose nothing need none."""
+    out = linededup.stage(spark, table(spark, DIR, "documents"), DIR)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
