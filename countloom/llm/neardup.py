@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm._spark import Scratch, Sieve, importable, small, split_by_sieve, table
+from countloom.llm._spark import Scratch, Sieve, cut, forget, importable, small, split_by_sieve, table
 from countloom.llm._words import NON_SPACE, chunks
 from countloom.llm.graph import TASK_EDGES, components
 from countloom.llm.superminhash import bands, set_keys, shingle_sets, signatures
@@ -220,16 +220,39 @@ def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), SHINGLE_WORDS, PERCENT)
 
 
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, number): the rows of ``docs``, each with a number of its own that stays the same however often they are read.
+
+    Numbers are places in files, in the order of the files' names.  A table that is not
+    read from Parquet files as it stands is written first.
+    """
+    row = F.struct(*docs.columns).alias("row")
+    if "_metadata" in map(str.lower, docs.columns) or not _read_as_it_stands(docs):
+        docs, row = scratch.cut(docs.select(row)), F.col("row")
+    at = docs.select(row, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index"))
+    names = sorted(r.file for r in at.select("file").distinct().collect())
+    order = docs.sparkSession.createDataFrame(list(enumerate(names)), "place long, file string")
+    return at.join(F.broadcast(order), "file").select("row", (F.shiftleft("place", 40) + F.col("index")).alias("number"))
+
+
+def _read_as_it_stands(docs: DataFrame) -> bool:
+    plan = docs._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.relation().toString().lower()
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates, that with the least id; repeated rows and rows without an id are rows like others."""
+    """One row of each group of near duplicates, that with the least id (the first, by file name and place, of equal ids or none); repeated rows and rows without an id are rows like others."""
     scratch = Scratch()
-    rows = scratch.cut(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")))
-    found = scratch.own(near_duplicates(rows.select(F.col("number").alias("doc_id"), "row.text"), SHINGLE_WORDS, PERCENT)).select(F.col("doc_id").alias("number"), F.col("component_id").alias("group"), "kept")
-    groups = scratch.cut(found.where("not kept").select("group").distinct())
-    members = found.join(small(groups), "group", "left_semi").join(rows.select("number", "row.doc_id"), "number")
-    members = scratch.cut(members.select("group", "number", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number").alias("place")))
-    first = scratch.cut(members.groupBy("group").agg(F.min("place").alias("first")))
+    rows = _numbered(docs, scratch)
+    found = near_duplicates(rows.select(F.col("number").alias("doc_id"), "row.text"), SHINGLE_WORDS, PERCENT)
+    label = found.select(F.col("doc_id").alias("number"), F.col("component_id").alias("group"), "kept")
+    groups = cut(label.where("not kept").select("group").distinct())
+    members = label.join(small(groups), "group", "left_semi").join(rows.select("number", "row.doc_id"), "number")
+    members = cut(members.select("group", "number", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number").alias("place")))
+    first = cut(members.groupBy("group").agg(F.min("place").alias("first")))
     gone = scratch.cut(members.join(small(first), "group").where("number != first.number").select("number"))
+    for x in (found, groups, members, first):
+        forget(x)
     doubtful, sure = split_by_sieve(rows, "number", gone, "number")
     kept = sure.select("row").unionAll(doubtful.join(gone, "number", "left_anti").select("row"))
     return kept.select("row.*")

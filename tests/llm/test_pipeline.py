@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from countloom.llm import bpe, linededup
+from countloom.llm import bpe, linededup, neardup
 from countloom.llm._spark import table
 from tests.llm.test_operators import DIR, LOWER, WORD, _components, _runs
 
@@ -72,3 +72,16 @@ def test_line_dedup_sends_texts_to_python_once(spark):
     """Memory: each call of a Python function in a task has a worker of its own; texts that lose nothing need none."""
     out = linededup.stage(spark, table(spark, DIR, "documents"), DIR)
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_near_dedup_reads_rows_where_they_lie(spark, tmp_path):
+    """Disk: no copy of a table that lies in files; its rows keep their numbers, in many files and alike in all columns too."""
+    run = " ".join(f"palabra{k} de la casa" for k in range(30))
+    rows = [(None, run, 0)] * 3 + [(7, run, 1)] * 3 + [(8 + k, f"words of {k} that are alone here", 8 + k) for k in range(4)]
+    for name in ("number", "_metadata"):
+        at = f"{tmp_path}/{name} of many files"
+        spark.createDataFrame(rows, f"doc_id long, text string, {name} long").repartition(5).write.parquet(at)
+        docs = spark.read.parquet(at)
+        out = neardup.stage(spark, docs, DIR)
+        assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == [rows[3], *rows[6:]]
+        assert name == "_metadata" or set(docs.inputFiles()) <= set(out.inputFiles())
